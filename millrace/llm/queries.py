@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.ann import nearest_every
+from millrace.llm.decontaminate import contamination
 from millrace.llm.langid import language_id
 from millrace.llm.mixing import mix
 from millrace.llm.simhash import simhash_groups
@@ -18,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -40,8 +46,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_every(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language, op6_toxicity, op7_tokens, op8_simhash, op9_mixing)}
+    return {f.__name__: f for f in (op1_decontaminate, op5_language, op6_toxicity, op7_tokens, op8_simhash, op9_mixing, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
