@@ -13,64 +13,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import re
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
 from millrace.llm.storage import Work, shuffle_partitions
 
-#: pieces remembered by a worker; beyond it the memory is emptied and filled anew
-REMEMBERED = 1 << 20
+#: pieces remembered by a worker; beyond it those not used since the last time are forgotten
+REMEMBERED = 400_000
 SCHEMA = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
-#: white space on both sides of a blank: there, pieces cut at blanks may tokenize differently from the whole
-_UNSAFE = re.compile(r"\s \s|\s \Z|\A \s")
+_LETTER = K.lut(range(65, 91), range(97, 123))
+_PRINTING = K.lut(range(33, 127))
+#: ASCII white space and every byte that may end, or begin, a longer white-space character
+_MAY_END_SPACE = K.lut(range(9, 14), range(28, 33), range(0x80, 0x8B), (0x9F, 0xA0, 0xA8, 0xA9, 0xAF))
+_MAY_BEGIN_SPACE = K.lut(range(9, 14), range(28, 33), (0xC2, 0xE1, 0xE2, 0xE3))
+_SIMPLE = r"^ ?[\x21-\x7e\p{L}\p{N}]+$"
 
 
-class Encoder:
-    """Whole-text encoding through memorised pieces.
+def cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Starts of pieces that a byte-level BPE tokenizer encodes alone as it does inside the text.
 
-    A byte-level BPE tokenizer first cuts a text into words with their leading blank and never merges
-    across. A cut before a blank is one of these unless white space stands on both sides of the blank;
-    such texts go to the tokenizer whole. Other texts are cut at blanks, and only pieces not seen
-    before are handed to the tokenizer.
+    Such a tokenizer first cuts a text into words with one leading blank, numbers, runs of signs and runs of
+    white space, and never merges across. Surely cut are: a document's start; a blank, unless white space
+    stands on both sides; whatever follows a Latin letter and is ASCII but no letter; and a letter after a
+    line feed that follows a sign or letter.
     """
+    n = len(data)
+    cut = np.zeros(n + 1, bool)
+    if n > 1:
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        before, here = data[:-1], data[1:]
+        after_space = np.ones(n - 1, bool)
+        after_space[:-1] = _MAY_BEGIN_SPACE[data[2:]] | edge[2:-1]
+        letter = _LETTER[before]
+        latin = np.zeros(n - 1, bool)
+        latin[1:] = (data[:-2] == 0xC3) & (before[1:] >= 0x80) & (before[1:] != 0x97) & (before[1:] != 0xB7)
+        cut[1:-1] = (here == 32) & ~(_MAY_END_SPACE[before] & after_space)
+        cut[1:-1] |= (letter | latin) & (here < 128) & ~_LETTER[here] & ~((here == 32) & _MAY_END_SPACE[before] & after_space)
+        line = np.zeros(n - 1, bool)
+        line[1:] = _LETTER[here[1:]] & (before[1:] == 10) & _PRINTING[data[:-2]] & ~edge[1:-2]
+        cut[1:-1] |= line
+    cut[offsets[:-1][offsets[:-1] < n]] = True
+    return np.flatnonzero(cut[:n])
+
+
+class Encoder:
+    """Whole-text encoding through remembered pieces: each distinct piece of a batch is looked up once, and only unknown ones reach the tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # a special token's name inside a text is ordinary text
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, memory: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in memory]
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
-            new = list(pieces)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tok.encode_batch_fast([lead + p for p in part], add_special_tokens=False)):
-                memory[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {c[0] for c in cut if c}, "")
-        later: set[str] = set()
-        for c in cut:
-            if c:
-                later.update(c[1:])
-        self._learn(self.later, later, " ")
-        first, get = self.first, self.later.__getitem__
-        out = []
-        for t, c in zip(texts, cut):
-            if c is None:
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(first[c[0]] + b"".join(map(get, c[1:])))
-        return out
+        self.line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        simple = pc.match_substring_regex(pa.array(new, pa.string()), _SIMPLE).to_numpy(zero_copy_only=False).tolist() if len(self.line) == 1 else [False] * len(new)
+        plain = [p for p, s in zip(new, simple) if s]
+        # one string for many pieces, a line feed between them: their ids are what stands between its ids
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for group, e in zip(groups, self.tok.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = [-1, *np.flatnonzero(ids == self.line[0]).tolist(), len(ids)]
+            if len(at) != len(group) + 1:
+                raise ValueError("the tokenizer joins a line feed with its neighbours")
+            raw = ids.tobytes()
+            for p, a, b in zip(group, at, at[1:]):
+                self.memory[p] = raw[4 * a + 4 : 4 * b]
+        rest = [p for p, s in zip(new, simple) if not s]
+        for i in range(0, len(rest), 1024):
+            part = rest[i : i + 1024]
+            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                self.memory[p] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents in a row, and the number of ids of each."""
+        starts = cuts(offsets, data)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.memory) + len(words) > REMEMBERED:
+            self.memory, self.older = {}, self.memory
+        memory, older = self.memory, self.older
+        new = []
+        for w in words:
+            if w not in memory:
+                if w in older:
+                    memory[w] = older[w]
+                else:
+                    new.append(w)
+        if new:
+            self._learn(new)
+        coded = [memory[w] for w in words]
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, first = np.frombuffer(b"".join(coded), "<u4"), np.concatenate([[0], np.cumsum(size)])[:-1]
+        which = pieces.indices.to_numpy()
+        each = size[which]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(first[which] - ends + each, each) + np.arange(ends[-1])]
+        total = np.concatenate([[0], ends])
+        return ids, np.diff(total[np.searchsorted(starts, offsets)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -97,15 +145,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, encod
         raise ValueError(f"unknown encoding {encoding!r}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, before = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), 0
+        enc, before = encoder(vocabulary), 0
         for batch in batches:
-            offsets, _ = K.text_bytes(batch.column(2))
+            offsets, data = K.text_bytes(batch.column(2))
             for i, j in K.slices(offsets):
-                ids = [x + end for x in enc.encode([t or "" for t in batch.column(2).slice(i, j - i).to_pylist()])]
-                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                at = np.zeros(len(ids) + 1, np.int64)
+                ids, counts = enc.encode(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
+                ids = np.insert(ids, np.cumsum(counts), end_id).view(np.int32)
+                counts += 1
+                at = np.zeros(len(counts) + 1, np.int64)
                 np.cumsum(counts, out=at[1:])
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                values = pa.array(ids)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(at[:-1] + before), pa.array(counts), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)],
                     ["part", "doc_id", "local_start", "n_tokens", "ids"],

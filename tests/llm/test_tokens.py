@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -22,8 +23,13 @@ def plain(texts):
 
 def test_encoder_equals_the_library(spark):
     texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    got = [np.frombuffer(x, "<u4").tolist() for x in Encoder(PATH).encode(texts)]
-    assert got == plain(texts)
+    rng = random.Random(5)
+    texts += ["".join(rng.choice("ab Z.,'s\n\t 1é\u00a0\u3000×ß\u2028😀\u0301") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    raw = [t.encode() for t in texts]
+    enc = Encoder(PATH)
+    for _ in range(2):
+        ids, counts = enc.encode(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == plain(texts)
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
