@@ -23,7 +23,7 @@ from millrace.llm.learning import bounded_sample, held_out, learnable
 SYMBOLS = 128  # the last stands for every byte that is not among the most frequent ones
 ORDER = 3
 #: cells of the cost table: contexts x symbols x languages; the most frequent contexts are kept
-MAX_CELLS = 1 << 24
+MAX_CELLS = 1 << 23
 
 
 def _contexts(sym: np.ndarray, starts: np.ndarray, start_sym: int) -> list[np.ndarray]:
@@ -65,7 +65,7 @@ def build(languages: list[str], grams: np.ndarray, lang: np.ndarray, count: np.n
     """The model from counts of (3-symbol context, symbol) by language; ``grams`` holds four symbols, the last one coded."""
     n_lang = len(languages)
     bits_each = SYMBOLS.bit_length() - 1
-    uniform = np.full((1, SYMBOLS, n_lang), 1.0 / SYMBOLS)
+    uniform = np.full((1, SYMBOLS, n_lang), 1.0 / SYMBOLS, np.float32)
     probs, of_suffix = [uniform], np.zeros(1, np.int64)
     base, room = 1, max(2, max_cells // (SYMBOLS * n_lang))
     for order in range(ORDER + 1):
@@ -84,7 +84,7 @@ def build(languages: list[str], grams: np.ndarray, lang: np.ndarray, count: np.n
         flat = np.concatenate(probs) if len(probs) > 1 else probs[0]
         parent = flat[parent_row]
         n, q = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        left = 1.0 - np.where(seen > 0, parent, 0).sum(1, keepdims=True)
+        left = 1.0 - np.where(seen > 0, parent, np.float32(0)).sum(1, keepdims=True)
         escape = np.where(left > 1e-9, q / np.maximum(n + q, 1) / np.maximum(left, 1e-9), 0)
         here = np.where(seen > 0, seen / np.maximum(n + q, 1), escape * parent)
         here = np.where(n > 0, here, parent)

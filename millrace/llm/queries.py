@@ -11,6 +11,7 @@ from millrace.llm.ann import nearest_every
 from millrace.llm.decontaminate import contamination
 from millrace.llm.langid import language_id
 from millrace.llm.mixing import mix
+from millrace.llm.pii import pseudonymise
 from millrace.llm.simhash import simhash_groups
 from millrace.llm.tokens import tokens_roundtrip
 from millrace.llm.toxicity import toxicity
@@ -24,6 +25,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), "key of the registered query").drop("lang", "source", "n_chars")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_language, op6_toxicity, op7_tokens, op8_simhash, op9_mixing, op10_neighbours)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op5_language, op6_toxicity, op7_tokens, op8_simhash, op9_mixing, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
