@@ -7,6 +7,7 @@ required; only a local master may fall back to a temporary folder.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,11 @@ class Work:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of steps that are over; else they stay until the driver collects garbage by chance."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames_paths: str) -> None:
         """Delete folders of this call that no later step reads."""
         jvm = self.spark.sparkContext._jvm
