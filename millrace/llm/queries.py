@@ -11,6 +11,7 @@ from millrace.llm.ann import nearest_every
 from millrace.llm.decontaminate import contamination
 from millrace.llm.langid import language_id
 from millrace.llm.mixing import mix
+from millrace.llm.paragraphs import paragraph_report
 from millrace.llm.pii import pseudonymise
 from millrace.llm.simhash import simhash_groups
 from millrace.llm.suffix import remove_repeats
@@ -30,6 +31,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), "key of the registered query").drop("lang", "source", "n_chars")
 
 
+def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_report(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -61,7 +66,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op4_suffix, op5_language, op6_toxicity, op7_tokens, op8_simhash, op9_mixing, op10_neighbours)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_paragraphs, op4_suffix, op5_language, op6_toxicity, op7_tokens, op8_simhash, op9_mixing, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
