@@ -152,3 +152,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, similari
     out = whole.join(sizes, F.col("item_id").eqNullSafe(F.col("of"))).withColumn("coverage", F.col("matched") / F.col("item_windows"))
     kept = (F.col("coverage") >= similarity) & (F.col("conflicts") <= (1 - similarity) * F.col("slots"))
     return out.where(kept).select("doc_id", "item_id", "item_windows", "matched", "coverage", "slots", "conflicts")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``benchmark``, all columns kept."""
+    work = Work(docs.sparkSession, "decontaminate")
+    found = work.keep(contamination(docs, benchmark, size, similarity).select(F.col("doc_id").alias("__of")).distinct(), "found")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__of")), "left_anti")

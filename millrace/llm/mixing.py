@@ -86,8 +86,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
     return out.drop("ceiling", "level", "held")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, blocks: int = 1024, levels: int = 4, seed: int = 20) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, draws.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, blocks: int = 1024, levels: int = 4, seed: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, draws and the columns ``carry``.
 
     ``draws``: array of (pass, shard, place), one entry each time the document is drawn; shards are written
     in the order of place. Sizes count words ``[^\\x20\\x09-\\x0D]+``; a null text has none and is drawn with
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, b
     """
     work = Work(docs.sparkSession, "mix")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("u"))
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("u"), *carry)
     slim = work.keep(slim.withColumn("block", F.pmod("u", F.lit(blocks)).cast("int")).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "slim")
 
     per_block = work.keep(slim.groupBy("source", "skey", "block").agg(F.sum("size").alias("words")), "blocks")
@@ -128,4 +128,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, b
     # of a block that is drawn in part, a document is taken if that brings the sum nearer to the quota
     out = out.withColumn("turns", F.expr("filter(coalesce(turns, array()), t -> t.quota is null or upto - size / 2D <= t.quota)"))
     draws = F.expr("transform(turns, t -> named_struct('pass', t.pass, 'shard', t.shard, 'place', xxhash64(u, t.pass)))")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("turns")).cast("bigint").alias("taken"), draws.alias("draws"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("turns")).cast("bigint").alias("taken"), draws.alias("draws"), *carry)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns kept, each as often as it is drawn."""
+    work = Work(docs.sparkSession, "mix")
+    base = work.keep(docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
+    drawn = mix(base, carry=("__rid",), **options).select("__rid", F.explode("draws"))
+    return base.join(drawn.select("__rid"), "__rid").drop("__rid")

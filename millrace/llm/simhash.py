@@ -50,17 +50,20 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): one row per input row; a null text counts as empty."""
+    """``docs`` with ``fp`` (bigint) in place of ``text``; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = K.text_bytes(batch.column(1))
+            offsets, data = K.text_bytes(batch.column(0))
             raw = data.tobytes()
             at = offsets.tolist()
             out = b"".join(fingerprint(raw[a:b], shingle, seed) for a, b in zip(at, at[1:]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(out, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.frombuffer(out, ">i8").astype(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
+    names = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("text").cast("string").alias("text"), *names)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, schema + "fp bigint")
 
 
 def _ball(bits: int, radius: int) -> list[np.ndarray]:
@@ -187,13 +190,32 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, prefix_bi
     are repeated in the result; rows with a null doc_id keep it and never give a group its id. Extra
     columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    work = Work(spark, "simhash")
-    own = work.keep(fingerprints(docs, shingle), "fingerprints")
-    reps = work.keep(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = ball_links(reps, reps.count(), radius, prefix_bits, shuffle_partitions(spark))
-    found = components(links, work).select(F.col("node").alias("fp"), "root")
-    at = work.keep(reps.join(work.keep(found, "roots"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    ids = work.keep(at.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
+    work = Work(docs.sparkSession, "simhash")
+    own = work.keep(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), shingle), "fingerprints")
+    at = _rooted(own, work, radius, prefix_bits)
+    firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first")).join(at, "fp")
+    ids = work.keep(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
     names = work.keep(at.join(ids, "root").select("fp", "component_id"), "names")
     return own.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+
+
+def _rooted(own: DataFrame, work: Work, radius: int, prefix_bits: int | None) -> DataFrame:
+    """(fp, root) for every distinct fingerprint of the written table ``own``."""
+    reps = work.keep(own.select("fp").distinct(), "distinct")
+    links = ball_links(reps, reps.count(), radius, prefix_bits, shuffle_partitions(own.sparkSession))
+    found = work.keep(components(links, work).select(F.col("node").alias("fp"), "root"), "roots")
+    return work.keep(reps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4, prefix_bits: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns kept: of each group the one with the smallest doc_id.
+
+    Null ids come last; of rows with equal ids the first stays. Groups are those of ``simhash_groups``.
+    """
+    work = Work(docs.sparkSession, "simhash")
+    base = work.keep(docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
+    own = work.keep(fingerprints(base.select("doc_id", "__rid", "text"), shingle), "fingerprints")
+    at = _rooted(own, work, radius, prefix_bits)
+    first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("first"))
+    kept = work.keep(first.join(at, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.__rid"), "kept")
+    return base.join(kept, "__rid", "left_semi").drop("__rid")

@@ -275,3 +275,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns kept, by a model trained on ``docs`` and ``labels``."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = K.text_bytes(batch.column(at))
+            out = np.zeros(len(batch), bool)
+            for i, j in K.slices(offsets):
+                out[i:j] = shared.value.score(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]) < 0.7
+            yield batch.filter(pa.array(out))
+
+    return docs.mapInArrow(run, docs.schema)
