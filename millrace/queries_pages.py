@@ -62,7 +62,7 @@ def page_accepted(spark, sf_dir):
     return _pages(spark, sf_dir).where(C.accepted(F.expr("case page_id % 3 when 0 then 200 when 1 then 404 else 500 end"))).select("page_id")
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?i)<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?i)<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&') AS title FROM pages")
 def page_to_rows(spark, sf_dir):
     rows = _pages(spark, sf_dir).select("page_id", F.explode(M.extract(F.col("html"), {"title": ".//title"})).alias("m"))
     return rows.select("page_id", F.col("m")["title"].alias("title"))
