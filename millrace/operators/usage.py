@@ -32,8 +32,18 @@ def aggregate(value: Column, how: str) -> Column:
 
 
 def bucket_stats(samples: DataFrame) -> DataFrame:
-    """All four aggregations of (bucket, metric, value)."""
-    return samples.groupBy("bucket", "metric").agg(*[aggregate(F.col("value"), a).alias(n) for a, n in zip(AGGREGATIONS, ("sum_value", "max_value", "p90_value", "p99_value"))])
+    """All four aggregations of (bucket, metric, value).
+
+    Samples are counted by value before anything is gathered, so a bucket costs its different values, not its
+    samples, and percentiles are read off running counts.
+    """
+    counts = samples.where("value is not null").groupBy("bucket", "metric", F.col("value").cast("bigint").alias("value")).agg(F.count("*").alias("c"))
+    group = Window.partitionBy("bucket", "metric")
+    placed = counts.withColumn("upto", F.sum("c").over(group.orderBy("value"))).withColumn("n", F.sum("c").over(group))
+    at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.expr(share + "D")), F.col("value")))
+    return placed.groupBy("bucket", "metric").agg(
+        F.sum(F.col("value") * F.col("c")).alias("sum_value"), F.greatest(F.lit(0).cast("bigint"), F.max("value")).alias("max_value"), at("0.9").alias("p90_value"), at("0.99").alias("p99_value")
+    )
 
 
 def merge_shards(shards: DataFrame, compat: bool = False, into: int = 0) -> DataFrame:
