@@ -53,6 +53,7 @@ class Block:
             rows, scores = np.zeros(0, np.int64), np.zeros(0)
             low = high = None
             half, checked = start, 0
+            slack = 1e-9 * sqrt(self.top * float(query @ query))
             while True:
                 lo = [int(s.searchsorted(c - half, "left")) for s, c in zip(self.sorted, centre[i])]
                 hi = [int(s.searchsorted(c + half, "right")) for s, c in zip(self.sorted, centre[i])]
@@ -67,6 +68,8 @@ class Block:
                 checked += len(found)
                 mine = self.ids[found] == query_ids[i]
                 found = found[~mine]
+                if len(rows) == k:  # by a quick product first: only what comes near the k-th best is summed in a fixed order
+                    found = found[self.vectors[found] @ query >= scores[-1] - slack]
                 rows = np.concatenate([rows, found])
                 scores = np.concatenate([scores, (self.vectors[found] * query).sum(1)])
                 best = np.lexsort((self.ids[rows], -scores))[:k]
@@ -82,7 +85,7 @@ class Block:
             yield i, self.ids[rows], scores, checked
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 8192, query_rows: int = 4096, projections: int = 64, threshold: float = 0.6, growth: float = 1.2, sigmas: float = 2.0, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 65536, query_rows: int = 512, projections: int = 48, threshold: float = 0.7, growth: float = 1.07, sigmas: float = 1.2, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by inner product, in double precision.
 
     ``vectors`` and ``queries``: (vec_id, embedding); a query's own id is no candidate. Ties go to the smaller
