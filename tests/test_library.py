@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import markup, strings, timing
 from millrace.operators import crawl, explorer, svm, tables, usage
-from millrace.sources import stats, texts
+from millrace.sources import records, stats, texts
 
 
 def one(spark, column):
@@ -121,6 +121,24 @@ def test_markup(spark):
     assert [tuple(x) for x in one(spark, markup.first_matches(F.lit("/*a*/ 12"), {"comment": r"/\*.*?\*/", "word": "[a-z]+", "n": "[0-9]+"}))] == [("comment", 0, "/*a*/"), ("n", 6, "12")]
 
 
+def test_restricted_links(spark):
+    html = '<div id="nav"><a href="/n">n</a></div><div id="main"><p><a href="/m">m</a></div>'
+    df = spark.createDataFrame([("h", "/", html)], "host string, path string, html string")
+    kept = df.withColumn("html", markup.restrict(F.col("html"), [".//div[@id='main']"]))
+    assert [r.link_path for r in crawl.page_links(kept).collect()] == ["/m"]
+
+
+def test_repair(spark, tmp_path):
+    source = tmp_path / "t"
+    spark.range(10).repartition(2).write.parquet(str(source))
+    (source / "part-00000-bad.parquet").write_bytes(b"PAR1 not a table PAR1")
+    assert records.repair(spark, str(source), str(tmp_path / "fixed")).count() == 10
+    with pytest.raises(ValueError):
+        records.with_row_id(spark.range(1), "id")
+    numbered = records.with_row_id(spark.range(6).selectExpr("id % 2 as k", "id"), "k", "id")
+    assert sorted((r.k, r.row_id) for r in numbered.collect()) == [(k, i) for k in (0, 1) for i in range(3)]
+
+
 def test_explorer_and_tables(spark):
     df = spark.createDataFrame([(1, "a", 1.5, [1, 2], None), (2, None, None, None, None)], "i int, s string, d double, l array<int>, m map<string,int>")
     assert [explorer.lookup(df, c, k).count() for c, k in (("i", "1"), ("i", ""), ("i", "99999999999"), ("s", "a"), ("d", "1.5"), ("d", "x"))] == [1, 0, 0, 1, 1, 0]
