@@ -17,6 +17,7 @@ from millrace.llm.simhash import one_of_each
 from millrace.llm.storage import Work
 from millrace.llm.tokens import tokens_roundtrip
 from millrace.llm.toxicity import without_toxic
+from millrace.plans.shipping import ship
 
 ORACLE_SQL = None
 
@@ -57,6 +58,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each result goes through the shared folder."""
+    ship(spark)
     work = Work(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
