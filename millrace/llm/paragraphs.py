@@ -112,11 +112,12 @@ def band_clusters(ids: np.ndarray, sets: list[np.ndarray], similarity: float) ->
 
 
 def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, rid, place, start, end, n_words, component, keep): one row per paragraph of ``docs``.
+    """(doc_id, rid, place, start, end, n_words, component, repeated, kept_in, keep): one row per paragraph of ``docs``.
 
     ``rid`` tells rows apart that share a doc_id; start and end are byte offsets in the text. component is
     the identity of the group, keep false for every paragraph but the group's first by (doc_id, rid, place),
-    null ids last. Null, empty and blank texts have no paragraphs. Extra columns are ignored.
+    null ids last; repeated
+    is true for all of a group of several, kept_in their first's doc_id. Null, empty and blank texts have no paragraphs. Extra columns are ignored.
     """
     spark = docs.sparkSession
     work = Work(spark, "paragraphs")
@@ -250,17 +251,18 @@ def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowde
     groups = work.keep(named.select("pid", "component").join(heads, "component").select("pid", "component", "head"), "groups")
     out = where.join(groups, "pid", "left")
     keep = F.coalesce((F.col("rid") == F.col("head.rid")) & (F.col("place") == F.col("head.place")), F.lit(True))
-    return out.select("doc_id", "rid", "place", "start", "end", "n_words", F.coalesce("component", "pid").alias("component"), keep.alias("keep"))
+    return out.select("doc_id", "rid", "place", "start", "end", "n_words", F.coalesce("component", "pid").alias("component"), F.col("component").isNotNull().alias("repeated"), F.col("head.doc_id").alias("kept_in"), keep.alias("keep"))
 
 
 def paragraph_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, n_paragraphs, n_removed, removed): documents with paragraphs, ``removed`` their places that go, ascending.
+    """(doc_id, n_paragraphs, n_repeated, n_removed, removed, kept_in): documents with paragraphs.
 
-    Rows that share a doc_id stay apart; a row without paragraphs has no row here.
+    n_repeated counts paragraphs that have a near copy, the kept ones included; ``removed`` are the places that
+    go, ascending, and kept_in the ids of the documents that keep their like. Rows that share a doc_id stay apart; a row without paragraphs has no row here.
     """
     found = paragraph_duplicates(docs, similarity)
-    out = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n_paragraphs"), F.array_sort(F.collect_list(F.when(~F.col("keep"), F.col("place")))).alias("removed"))
-    return out.select("doc_id", "n_paragraphs", F.size("removed").cast("bigint").alias("n_removed"), "removed")
+    out = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n_paragraphs"), F.count_if("repeated").alias("n_repeated"), F.array_sort(F.collect_list(F.when(~F.col("keep"), F.col("place")))).alias("removed"), F.array_sort(F.collect_set(F.when(~F.col("keep"), F.col("kept_in")))).alias("kept_in"))
+    return out.select("doc_id", "n_paragraphs", "n_repeated", F.size("removed").cast("bigint").alias("n_removed"), "removed", "kept_in")
 
 
 def remove_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -66,7 +66,7 @@ def test_report_matches_brute_force(spark, crowded):
 def test_report_and_texts(spark):
     rows = [(1, "one two three four five six\nkeep me here now please"), (2, "x\n\none two three four five six\ny"), (3, "one  TWO three, four five six")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert sorted(map(tuple, paragraph_report(df).collect())) == [(1, 2, 0, []), (2, 3, 1, [1]), (3, 1, 1, [0])]
+    assert sorted(map(tuple, paragraph_report(df).collect())) == [(1, 2, 1, 0, [], []), (2, 3, 1, 1, [1], [1]), (3, 1, 1, 1, [0], [1])]
     assert sorted((r.doc_id, r.text) for r in remove_paragraphs(df).collect()) == [(1, rows[0][1]), (2, "x\n\ny"), (3, "")]
     assert paragraph_report(df.limit(0)).count() == 0
     twice = spark.createDataFrame(rows[:1] * 2, "doc_id bigint, text string")
