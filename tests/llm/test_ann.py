@@ -46,6 +46,15 @@ def test_norms_that_differ_and_ties(spark):
     assert [i for i, _ in got[620]][-1] <= [i for i, _ in want[620]][-1]
 
 
+def test_sizes_at_the_edge_of_doubles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (v * 10.0 ** rng.choice([-150, 0, 150])).tolist()) for i, v in enumerate(rng.standard_normal((400, 6)))]
+    got, want = grouped(nearest_every(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))), brute(rows)
+    assert recall(got, want) >= 0.9
+    same = [(i, [0.3, 0.4]) for i in range(100)] + [(i, [1e-3 * i, -1.0]) for i in range(100, 140)]
+    assert grouped(nearest_every(spark.createDataFrame(same, "vec_id bigint, embedding array<double>")))[20] == brute(same)[20]
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 1.0]), (20, [-1.0, 2.0]), (8, [1.0, 2.0, 3.0]), (40, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 as rank", "2 as query_id")

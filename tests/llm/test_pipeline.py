@@ -2,7 +2,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import public_tokenizers
 from test_decontaminate import brute as brute_items
 from test_mixing import water
 from test_simhash import brute_groups
