@@ -27,33 +27,41 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int, threshold: float, seed: int):
         self.ids, self.vectors, self.m, self.threshold = ids, vectors, projections, threshold
-        norms = (vectors * vectors).sum(1)
+        self.scale = 1.0 / float(np.abs(vectors).max())  # geometry is done on components of at most 1
+        even = vectors * self.scale
+        self.quick = even.astype(np.float32)
+        norms = (even * even).sum(1)
         self.top = norms.max()
-        lifted = np.hstack([vectors, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
+        lifted = np.hstack([even, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
         self.axes = np.random.default_rng(seed).standard_normal((lifted.shape[1], projections))
         at = (lifted @ self.axes).T
         self.order = np.argsort(at, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.ascontiguousarray(np.take_along_axis(at, self.order, axis=1))
 
     def first_window(self, queries: np.ndarray, k: int) -> float:
-        """A half-width to start from: half of the typical k-th distance, from a few queries and rows."""
-        rows = self.vectors[:: max(1, len(self.vectors) // 512)]
+        """A half-width to start from: three quarters of the typical k-th distance, from a few queries and rows."""
+        rows = self.vectors[:: max(1, len(self.vectors) // 512)] * self.scale
         some = queries[:: max(1, len(queries) // 32)]
         gaps = self.top + (some * some).sum(1)[:, None] - 2 * some @ rows.T
         part = max(0, min(rows.shape[0] - 1, k * len(rows) // len(self.vectors)))
-        return 0.5 * sqrt(max(float(np.median(np.partition(gaps, part, axis=1)[:, part])), 1e-12 * max(self.top, 1e-300)))
+        return 0.75 * sqrt(max(float(np.median(np.partition(gaps, part, axis=1)[:, part])), 1e-12 * max(self.top, 1e-300)))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, growth: float, sigmas: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
         """(query row, ids, scores, rows verified) with the k best by (score, id)."""
         n, need = len(self.ids), max(1, int(np.ceil(self.threshold * self.m)))
-        centre = np.hstack([queries, np.zeros((len(queries), 1))]) @ self.axes
-        start = self.first_window(queries, k)
+        # a query's length does not change its order of rows; at the rows' largest norm distances differ most
+        sizes = np.abs(queries).max(1)
+        sizes = sizes * np.sqrt(((queries / sizes[:, None]) ** 2).sum(1) / self.top)
+        even = queries / sizes[:, None]
+        centre = np.hstack([even, np.zeros((len(queries), 1))]) @ self.axes
+        start = self.first_window(even, k)
         for i, query in enumerate(queries):
+            light, span, factor = even[i].astype(np.float32), float(even[i] @ even[i]), self.scale / sizes[i]
             count, seen = np.zeros(n, np.int64), np.zeros(n, bool)
             rows, scores = np.zeros(0, np.int64), np.zeros(0)
             low = high = None
-            half, checked = start, 0
-            slack = 1e-9 * sqrt(self.top * float(query @ query))
+            half, checked, idle = start, 0, 0
+            slack = 1e-5 * sqrt(self.top * span)  # far above what single precision loses
             while True:
                 lo = [int(s.searchsorted(c - half, "left")) for s, c in zip(self.sorted, centre[i])]
                 hi = [int(s.searchsorted(c + half, "right")) for s, c in zip(self.sorted, centre[i])]
@@ -66,10 +74,12 @@ class Block:
                 found = np.flatnonzero((count >= need) & ~seen)
                 seen[found] = True
                 checked += len(found)
+                idle = 0 if len(found) else idle + 1
+                grown = growth if idle < 8 else 2.0  # far from everything: hurry
                 mine = self.ids[found] == query_ids[i]
                 found = found[~mine]
                 if len(rows) == k:  # by a quick product first: only what comes near the k-th best is summed in a fixed order
-                    found = found[self.vectors[found] @ query >= scores[-1] - slack]
+                    found = found[self.quick[found] @ light >= scores[-1] * factor - slack]
                 rows = np.concatenate([rows, found])
                 scores = np.concatenate([scores, (self.vectors[found] * query).sum(1)])
                 best = np.lexsort((self.ids[rows], -scores))[:k]
@@ -77,11 +87,11 @@ class Block:
                 if checked == n:
                     break
                 if len(rows) == k:
-                    gap = sqrt(max(self.top + float(query @ query) - 2 * scores[-1], 1e-300))
+                    gap = sqrt(max(self.top + span - 2 * scores[-1] * factor, 1e-300))
                     p = erf(half / gap / sqrt(2))
                     if p - sigmas * sqrt(p * (1 - p) / self.m) >= self.threshold:
                         break
-                half *= growth
+                half *= grown
             yield i, self.ids[rows], scores, checked
 
 
