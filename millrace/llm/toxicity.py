@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
 from millrace.llm.learning import bounded_sample, held_out, learnable
+from millrace.llm.storage import Work
 
 #: insults that vote whether or not the labelled rows hold them
 LEXICON = (
@@ -223,18 +224,40 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows
             cols = [pa.array(list(c), pa.binary()) for c in zip(*out)] if out else [pa.array([], pa.binary())] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["doc_id", "toxic", "least1", "least2", "features", "patterns"])
 
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(features, "doc_id bigint, toxic int, least1 binary, least2 binary, features binary, patterns binary")
+    work = Work(docs.sparkSession, "toxicity")
+    sampled = work.keep(rows.select("doc_id", "text", "toxic").mapInArrow(features, "doc_id bigint, toxic int, least1 binary, least2 binary, features binary, patterns binary"), "sample")
     seen: tuple[set, set] = (set(), set())
-    kept: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for r in sorted(got.collect(), key=lambda r: (r.doc_id, bytes(r.features))):
+    kept = set()
+    for r in sorted(sampled.select("doc_id", "toxic", "least1", "least2").collect(), key=lambda r: r.doc_id):
         keys = (bytes(r.least1), r.toxic), (bytes(r.least2), r.toxic)
         if keys[0] not in seen[0] and keys[1] not in seen[1]:
-            kept.append((r.toxic, np.frombuffer(r.features, np.uint64), np.frombuffer(r.patterns, bool)))
+            kept.add(r.doc_id)
         for s, k in zip(seen, keys):
             s.add(k)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for toxic in (0, 1):
+                mine = [np.frombuffer(f, np.uint64) for d, t, f in zip(*(c.to_pylist() for c in batch.columns)) if t == toxic and d in kept]
+                if mine:
+                    found, n = np.unique(np.concatenate(mine), return_counts=True)
+                    n = pa.array(n)
+                    none = pa.array(np.zeros(len(found), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), n if toxic else none, none if toxic else n], ["feature", "hits", "clean"])
+
+    counts = sampled.select("doc_id", "toxic", "features").mapInArrow(count, "feature bigint, hits bigint, clean bigint").groupBy("feature").agg(F.sum("hits").alias("hits"), F.sum("clean").alias("clean"))
+    telling = counts.where((F.col("hits") >= SUPPORT) & (F.col("hits") >= 12 * F.col("clean"))).select("feature").toArrow().column(0).to_numpy().view(np.uint64)
+    wanted = np.unique(np.concatenate([telling, np.array(sorted(map(word_hash, LEXICON)), np.uint64)]))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            few = [np.intersect1d(np.frombuffer(f, np.uint64), wanted).tobytes() for f in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(few, pa.binary()), batch.column(3)], ["doc_id", "toxic", "features", "patterns"])
+
+    got = sampled.select("doc_id", "toxic", "features", "patterns").mapInArrow(reduce, "doc_id bigint, toxic int, features binary, patterns binary").collect()
+    kept = [(r.toxic, np.frombuffer(r.features, np.uint64), np.frombuffer(r.patterns, bool)) for r in sorted(got, key=lambda r: r.doc_id) if r.doc_id in kept]
     labelled = np.array([t for t, _, _ in kept], int)
-    words = [f for _, f, _ in kept]
-    found = choose_words(words, labelled == 1)
+    found = choose_words([f for _, f, _ in kept], labelled == 1)
     voters = Voters(np.array(sorted({*map(word_hash, LEXICON), *found}), np.uint64))
     votes = np.zeros((len(kept), voters.size), bool)
     for i, (_, f, p) in enumerate(kept):
