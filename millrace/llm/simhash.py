@@ -218,4 +218,4 @@ def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4, prefix_bits:
     at = _rooted(own, work, radius, prefix_bits)
     first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("first"))
     kept = work.keep(first.join(at, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.__rid"), "kept")
-    return base.join(kept, "__rid", "left_semi").drop("__rid")
+    return base.join(kept.hint("merge"), "__rid", "left_semi").drop("__rid")  # kept grows with the rows: never broadcast

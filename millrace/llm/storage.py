@@ -10,10 +10,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_RECORDS: list[list[Work]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+@contextmanager
+def recorded(into: list[Work]) -> Iterator[None]:
+    """Note in ``into`` every folder that operators open meanwhile, so that the caller can delete them later."""
+    _RECORDS.append(into)
+    try:
+        yield
+    finally:
+        _RECORDS.pop()
+
+
 class Work:
     """A uniquely named folder for one operator call."""
 
@@ -37,6 +50,8 @@ class Work:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        if _RECORDS:
+            _RECORDS[-1].append(self)
 
     def path(self, name: str) -> str:
         self._n += 1

@@ -7,6 +7,7 @@ from test_mixing import water
 from test_simhash import brute_groups
 from test_tokens import plain
 
+from millrace.llm.storage import Work
 from millrace.llm.toxicity import toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -17,9 +18,9 @@ def test_stages_against_brute_force(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    steps = [docs]
+    steps, work = [docs], Work(spark, "test")
     for _, stage in corpus_pipeline.STAGES:
-        steps.append(stage(spark, steps[-1], SF).persist())
+        steps.append(work.keep(stage(spark, steps[-1], SF), "stage"))
     rows = [[tuple(r) for r in s.collect()] for s in steps]
     assert all(s.schema.simpleString() == docs.schema.simpleString() for s in steps[1:-1])
 
