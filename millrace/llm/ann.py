@@ -95,7 +95,7 @@ class Block:
             yield i, self.ids[rows], scores, checked
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 65536, query_rows: int = 512, projections: int = 48, threshold: float = 0.7, growth: float = 1.07, sigmas: float = 1.2, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 65536, query_rows: int = 512, projections: int = 64, threshold: float = 0.6, growth: float = 1.07, sigmas: float = 2.0, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by inner product, in double precision.
 
     ``vectors`` and ``queries``: (vec_id, embedding); a query's own id is no candidate. Ties go to the smaller

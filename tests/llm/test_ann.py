@@ -60,3 +60,12 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 as rank", "2 as query_id")
     assert grouped(nearest_every(df)) == brute(dict(rows).items())
     assert nearest_every(df.limit(0)).count() == 0 and nearest(df, df.limit(0)).count() == 0
+
+
+def test_the_windows_miss_less_than_one_in_a_hundred(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((40, 64))
+    near = centres[rng.integers(0, 40, 6000)] + 0.7 * rng.standard_normal((6000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "vec_id bigint, embedding array<double>")
+    want = brute([(i, v.tolist()) for i, v in enumerate(near)], every=60)
+    assert recall(grouped(nearest_every(df, every=60)), want) >= 0.99
