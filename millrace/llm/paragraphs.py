@@ -24,7 +24,7 @@ from millrace.llm.storage import Work, shuffle_partitions
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 #: paragraphs of a band that are compared in one task; a band with more is dealt into shares by hash, anew
-#: for each band, and the shares are joined through the first members of their clusters
+#: for each band, and every two shares are compared, but for those inside the band's largest component so far
 CROWDED = 4096
 _LINE = K.lut(b"\n")
 _KEYS = np.random.default_rng(77).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -111,6 +111,69 @@ def band_clusters(ids: np.ndarray, sets: list[np.ndarray], similarity: float) ->
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def near_links(left_ids: np.ndarray, left: list[np.ndarray], right_ids: np.ndarray, right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join whatever all pairs of a left and a right set that are similar would join.
+
+    Every pair is counted: shingles that many sets hold by products of 0/1 matrices, the others pair by pair.
+    """
+    m, n = len(left), len(right)
+    sizes = [np.fromiter(map(len, sets), np.int64, len(sets)) for sets in (left, right)]
+    flats = [np.concatenate(sets) for sets in (left, right)]
+    shared = np.intersect1d(np.unique(flats[0]), np.unique(flats[1]))
+    common = np.zeros((m, n), np.float32)
+    rows, cols = [], []
+    for size, flat in zip(sizes, flats):
+        at = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
+        known = np.flatnonzero(shared[at] == flat) if len(shared) else np.zeros(0, np.int64)
+        known = known[np.argsort(at[known], kind="stable")]
+        rows.append(np.repeat(np.arange(len(size)), size)[known])
+        cols.append(at[known])
+    held = [np.bincount(c, minlength=len(shared)) for c in cols]
+    begin = [np.cumsum(h) - h for h in held]
+    work = held[0] * held[1]
+    often = work * 160 > m * n
+    dense = np.flatnonzero(often)
+    for a in range(0, len(dense), 1024):
+        chosen = dense[a : a + 1024]
+        place = np.full(len(shared), -1, np.int64)
+        place[chosen] = np.arange(len(chosen))
+        x, y = (np.zeros((k, len(chosen)), np.float32) for k in (m, n))
+        for into, row, col in zip((x, y), rows, cols):
+            hit = place[col] >= 0
+            into[row[hit], place[col[hit]]] = 1
+        for r in range(0, m, 1024):
+            common[r : r + 1024] += x[r : r + 1024] @ y.T
+    each = np.flatnonzero(~often[cols[0]])
+    pairs = held[1][cols[0][each]]
+    cuts = np.concatenate([[0], np.cumsum(pairs)])
+    a = 0
+    while a < len(each):
+        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + (1 << 22), side="right")) - 1)
+        k = pairs[a:b]
+        other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[1][cols[0][each[a:b]]], k)
+        np.add.at(common, (np.repeat(rows[0][each[a:b]], k), rows[1][other]), np.float32(1))
+        a = b
+    near = np.zeros((m, n), bool)
+    for r in range(0, m, 256):
+        c = common[r : r + 256].astype(np.float64)
+        near[r : r + 256] = c >= similarity * (sizes[0][r : r + 256, None] + sizes[1] - c) - 1e-9
+    turned = np.ascontiguousarray(near.T)
+    open_left, open_right = near.any(1), near.any(0)
+    a, b = [left_ids[:0]], [left_ids[:0]]
+    for i in np.flatnonzero(open_left):
+        todo = np.array([i]) if open_left[i] else np.zeros(0, np.int64)
+        open_left[i] = False
+        while len(todo):
+            over = np.flatnonzero(near[todo].any(0) & open_right)
+            open_right[over] = False
+            todo = np.flatnonzero(turned[over].any(0) & open_left)
+            open_left[todo] = False
+            for met in (right_ids[over], left_ids[todo]):
+                a.append(np.full(len(met), left_ids[i]))
+                b.append(met)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, rid, place, start, end, n_words, component, repeated, kept_in, keep): one row per paragraph of ``docs``.
 
@@ -213,8 +276,11 @@ def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowde
 
         def links() -> Iterator[pa.RecordBatch]:
             ids = np.array(list(held), np.int64)
-            a, b = band_clusters(ids, [np.frombuffer(x, np.uint64) for x in held.values()], similarity) if len(held) > 1 else (ids[:0], ids[:0])
-            if now[1] >= 0:
+            sets = [np.frombuffer(x, np.uint64) for x in held.values()]
+            if now[1] < 0:
+                a, b = band_clusters(ids, sets, similarity) if len(held) > 1 else (ids[:0], ids[:0])
+            else:
+                a, b = near_links(ids, sets, ids, sets, similarity)
                 nodes, root = K.local_roots(np.concatenate([a, ids]), np.concatenate([b, ids]))
                 heads = nodes[nodes == root]
                 a, b = np.concatenate([a, heads]), np.concatenate([b, heads])
@@ -230,6 +296,27 @@ def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowde
         if held:
             yield from links()
 
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between two shares of a band, or inside one. Rows arrive sorted by pair of shares, then by share."""
+        held: dict[int, dict[int, bytes]] = {}
+        now = None
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if now[1] == now[2] or len(held) == 2:
+                sides = [(np.array(list(x), np.int64), [np.frombuffer(y, np.uint64) for y in x.values()]) for x in held.values()]
+                a, b = near_links(*sides[0], *sides[-1], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for band, low, high, own, pid, x in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (band, low, high) != now:
+                    if held:
+                        yield from links()
+                    held, now = {}, (band, low, high)
+                held.setdefault(own, {})[pid] = x
+        if held:
+            yield from links()
+
     def checked(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "band", "share").sortWithinPartitions("band", "share", "pid").mapInArrow(verify, "band bigint, a bigint, b bigint")
 
@@ -238,10 +325,27 @@ def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowde
     share = F.coalesce(F.pmod(F.xxhash64("band", "pid"), F.ceil(F.col("count") / crowded)), F.lit(-1)).cast("bigint")
     met = members.join(shingles, "pid").join(crowds, "band", "left").select("band", share.alias("share"), "pid", "shingles")
     edges = work.keep(checked(met), "edges")
-    # the shares of a crowded band meet through the first members of their clusters
-    heads = edges.where("a = b").select("band", F.lit(-1).cast("bigint").alias("share"), F.col("a").alias("pid")).join(shingles, "pid").select("band", "share", "pid", "shingles")
-    edges = edges.unionByName(work.keep(checked(heads), "edges")).select("a", "b")
-    roots = work.keep(components(edges, work).select(F.col("node").alias("pid"), "root"), "roots")
+    found = edges.select("a", "b")
+    if not crowds.isEmpty():
+        # the clusters' first members, dealt anew: what they join needs no comparison of whole shares
+        heads = edges.where("a = b").select("band", F.col("a").alias("pid"))
+        heads = heads.join(heads.groupBy("band").count(), "band").select("band", F.pmod(F.xxhash64("pid", "band"), F.ceil(F.col("count") / crowded)).cast("bigint").alias("share"), "pid")
+        met = work.keep(heads, "heads").join(shingles, "pid").select("band", "share", "pid", "shingles")
+        found = work.keep(found.unionByName(work.keep(checked(met), "edges").select("a", "b")).distinct(), "edges")
+        # every pair of a band but those inside its largest component so far is compared, share against share
+        roots = components(found, work).select(F.col("node").alias("pid"), "root")
+        crowd = work.keep(members.join(crowds.select("band"), "band").join(roots, "pid", "left").select("band", "pid", F.coalesce("root", "pid").alias("root")), "crowd")
+        largest = crowd.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.max("count").alias("inside"), F.sum("count").alias("all"))
+        largest = largest.where("inside < all").select("band", "largest", F.ceil((F.col("all") - F.col("inside")) / crowded).alias("outer"), F.ceil(F.col("inside") / crowded).alias("inner"))
+        inner = F.col("root") == F.col("largest")
+        dealt = F.xxhash64("band", "pid")
+        own = F.when(inner, F.col("outer") + F.pmod(dealt, F.col("inner"))).otherwise(F.pmod(dealt, F.col("outer")))
+        against = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(inner, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1))
+        crowd = crowd.join(largest, "band").select("band", "pid", own.alias("own"), against.alias("against"))
+        crowd = work.keep(crowd.select("band", F.least("own", "against").alias("low"), F.greatest("own", "against").alias("high"), "own", "pid"), "crowd")
+        met = crowd.join(shingles, "pid").select("band", "low", "high", "own", "pid", "shingles").repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high", "own", "pid")
+        found = found.unionByName(work.keep(met.mapInArrow(cross, "a bigint, b bigint"), "edges"))
+    roots = work.keep(components(found, work).select(F.col("node").alias("pid"), "root"), "roots")
     work.release()
 
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "place")).alias("first")

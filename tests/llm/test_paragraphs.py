@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from millrace.llm.paragraphs import paragraph_duplicates, paragraph_report, remove_paragraphs
+from millrace.llm.kernels import local_roots
+from millrace.llm.paragraphs import near_links, paragraph_duplicates, paragraph_report, remove_paragraphs
 
 
 def shingles(text):
@@ -71,3 +73,33 @@ def test_report_and_texts(spark):
     assert paragraph_report(df.limit(0)).count() == 0
     twice = spark.createDataFrame(rows[:1] * 2, "doc_id bigint, text string")
     assert sorted(r.n_removed for r in paragraph_report(twice).collect()) == [0, 2]
+
+
+def test_crowded_bands_lose_no_links(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    base = [rng.choice(words) for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):  # each near the first, none near another
+        copy = list(base)
+        for at in rng.sample(range(8, 192, 8), 4):
+            copy[at] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = {r.doc_id: r.keep for r in paragraph_duplicates(df).collect()}
+    shares = {r.doc_id: r.keep for r in paragraph_duplicates(df, crowded=6).collect()}
+    assert sum(whole.values()) == 1 and shares == whole
+
+
+def test_links_between_shares_match_all_pairs():
+    rng = np.random.default_rng(5)
+    for many in (0, 300):  # shingles that all sets draw from, then mostly rare ones
+        pool = np.sort(rng.integers(1, 1 << 62, 60 + many * 30).astype(np.uint64))
+        bases = [rng.choice(pool, 40, False) for _ in range(12)]
+        sets = [np.unique(np.concatenate([rng.choice(bases[i % 12], 37, False), rng.choice(pool, 2)])) for i in range(90)]
+        ids = np.arange(90) * 7
+        a, b = near_links(ids[:50], sets[:50], ids[50:], sets[50:], 0.8)
+        near = [(ids[i], ids[j]) for i in range(50) for j in range(50, 90) if len(x := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(x)) - 1e-9]
+        want = local_roots(*np.array(near, np.int64).T)
+        got = local_roots(a, b)
+        assert near and all(map(np.array_equal, got, want))
