@@ -4,7 +4,8 @@ Numbers, units after numbers and capitalised words inside sentences become typed
 of five tokens of the result are joined by hash with those of the benchmark's items. A document holds an
 item if it has at least 0.8 of the item's windows and its slots are filled consistently: at one
 alignment, equal values of the item stand against equal values of the document. So both literal copies
-and re-parameterised ones are found.
+and re-parameterised ones are found. A capitalised word that opens a sentence may be a name or not: windows
+with such words are kept in both forms, as they are and with placeholders, and either form may be met.
 """
 
 from __future__ import annotations
@@ -25,19 +26,25 @@ UNITS = (
     "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent degrees celsius fahrenheit kelvin "
     "usd dollar dollars cent cents eur euro euros mph kmh hz khz mhz ghz w kw v volts amps joules watts newtons kb mb gb tb bytes bits"
 ).split()
+#: words that open sentences without being names
+OPENERS = (
+    "a an the this that these those i you he she it we they my your his her its our their one two three four five six seven eight nine ten each every all both some any many much more most no none "
+    "in on at by for from to of with without after before during since until under over between about into out up down and or but so yet nor as if when while because although though then thus hence therefore however also there here now "
+    "how what which who whom whose where why is are was were be been do does did has have had can could may might must shall should will would let find calculate compute determine solve show prove give given write suppose assume consider note use not"
+).split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D, 0x554E54))
 #: windows of a benchmark up to which its hashes are sent to the scanning tasks (8 bytes each)
 MOST_SENT = 1 << 22
 _DIGIT, _UPPER, _BREAK = K.lut(range(48, 58)), K.lut(range(65, 91)), K.lut(b".!?:\n\r")
 
 
-def _unit_hashes() -> np.ndarray:
-    raw = [np.frombuffer(u.encode(), np.uint8) for u in UNITS]
+def _hashes(words: list[str]) -> np.ndarray:
+    raw = [np.frombuffer(u.encode(), np.uint8) for u in words]
     return np.unique(np.concatenate([K.span_hash(K.prefix_sums(r), np.array([0]), np.array([len(r)])) for r in raw]))
 
 
-def template(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of whole documents: owner, hash of the lower-cased value, hash of the canonical form, placeholder flag."""
+def template(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of whole documents: owner, hash of the lower-cased value, hash of the canonical form, placeholder flag, and flag of sentence openers that may be names."""
     digit = _DIGIT[data]
     inside = K.WORD[data]
     if len(data) > 2:  # a point or comma between digits belongs to the number
@@ -48,7 +55,7 @@ def template(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     value = K.span_hash(K.prefix_sums(K.LOWER[data]), start, end)
     owner = np.searchsorted(offsets, start, side="right") - 1
     if not len(start):
-        return owner, value, value, np.zeros(0, bool)
+        return owner, value, value, np.zeros(0, bool), np.zeros(0, bool)
     first = data[start]
     second = data[np.minimum(start + 1, end - 1)]
     upper = _UPPER[first] | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
@@ -59,39 +66,64 @@ def template(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     opens[1:] = (breaks[start[1:]] > breaks[end[:-1]]) | (owner[1:] != owner[:-1])
     number = _DIGIT[first]
     unit = np.zeros(len(start), bool)
-    unit[1:] = number[:-1] & (owner[1:] == owner[:-1]) & np.isin(value[1:], _unit_hashes())
+    unit[1:] = number[:-1] & (owner[1:] == owner[:-1]) & np.isin(value[1:], _hashes(UNITS))
     name = upper & mixed & ~opens
     form = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
-    return owner, value, form, number | unit | name
+    maybe = upper & mixed & opens & ~unit
+    maybe[maybe] = ~np.isin(value[maybe], _hashes(OPENERS))
+    return owner, value, form, number | unit | name, maybe
 
 
 def windows(offsets: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Window hashes with owner and first token, each document's end among the tokens, then the tokens' values and placeholder flags.
+    """Window hashes with owner and first token, each document's end among the tokens, the tokens' values and placeholder
+    flags (literal openers, then open ones), and for each hash whether it has placeholders for openers and the window's own hash.
 
     A window with fewer than two literal tokens is hashed by its values. A document of fewer than
     ``size`` tokens has one window, the whole sequence.
     """
-    owner, value, form, slot = template(offsets, data)
+    owner, value, form, slot, maybe = template(offsets, data)
     n = len(owner)
-    if n >= size:
-        whole = owner[: n - size + 1] == owner[size - 1 :]
-        slots = np.concatenate([[0], np.cumsum(slot)])
-        bare = slots[size:] - slots[:-size] > size - 2
-        at = np.flatnonzero(whole)
-        hashes = np.where(bare, K.combine(value, size), K.combine(form, size))[at]
-    else:
-        at, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     counts = np.bincount(owner, minlength=len(offsets) - 1)
     ends = np.cumsum(counts)
-    for d in np.flatnonzero((counts > 0) & (counts < size)):
-        a, b = ends[d] - counts[d], ends[d]
-        seq = form[a:b] if (~slot[a:b]).sum() >= min(2, b - a) else value[a:b]
-        at, hashes = np.append(at, a), np.append(hashes, K.combine(seq, b - a) ^ np.uint64(b - a))
-    return hashes, owner[at], at, ends, value, slot
+    full = np.flatnonzero(owner[: n - size + 1] == owner[size - 1 :]) if n >= size else np.zeros(0, np.int64)
+    short = np.flatnonzero((counts > 0) & (counts < size))
+
+    def hashed(form: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each window, and whether it is one of values."""
+        if n >= size:
+            slots = np.concatenate([[0], np.cumsum(slot)])
+            bare = slots[size:] - slots[:-size] > size - 2
+            hashes, bare = np.where(bare, K.combine(value, size), K.combine(form, size))[full], bare[full]
+        else:
+            hashes, bare = np.zeros(0, np.uint64), np.zeros(0, bool)
+        ones, plain = [], []
+        for d in short:
+            a, b = ends[d] - counts[d], ends[d]
+            plain.append((~slot[a:b]).sum() < min(2, b - a))
+            ones.append(K.combine((value if plain[-1] else form)[a:b], b - a)[0] ^ np.uint64(b - a))
+        return np.append(hashes, np.array(ones, np.uint64)), np.append(bare, np.array(plain, bool))
+
+    hashes, _ = hashed(form, slot)
+    at = np.append(full, ends[short] - counts[short])
+    open_slot = slot | maybe
+    if maybe.any():
+        other, bare = hashed(np.where(maybe, NAME, form), open_slot)
+        openers = np.concatenate([[0], np.cumsum(maybe)])
+        twice = np.flatnonzero(~bare & (openers[np.minimum(at + size, ends[owner[at]])] > openers[at]))
+        other = other[twice]
+    else:
+        twice, other = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    opened = np.arange(len(at) + len(twice)) >= len(at)
+    own = np.append(hashes, hashes[twice])
+    at = np.append(at, at[twice])
+    return np.append(hashes, other), owner[at], at, ends, value, (slot, open_slot), opened, own
 
 
 def _table(rows: DataFrame, size: int, wanted=None) -> DataFrame:
-    """(id, w, at, slots): windows of (id, text) rows with place in the text and hashes of the values in their slots."""
+    """(id, w, own, at, slots): windows of (id, text) rows with place in the text and hashes of the values in their slots.
+
+    own is the window's hash with literal sentence openers, w that or the one with placeholders for them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if wanted is None else wanted.value
@@ -101,7 +133,7 @@ def _table(rows: DataFrame, size: int, wanted=None) -> DataFrame:
         for batch in batches:
             offsets, data = K.text_bytes(batch.column(1))
             for i, j in K.slices(offsets):
-                hashes, owner, at, ends, value, slot = windows(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], size)
+                hashes, owner, at, ends, value, flags, opened, own = windows(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], size)
                 if known is not None:
                     hit = np.flatnonzero(sieve[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
                     if len(known):
@@ -109,20 +141,21 @@ def _table(rows: DataFrame, size: int, wanted=None) -> DataFrame:
                         hit = hit[known[place] == hashes[hit]]
                     else:
                         hit = hit[:0]
-                    hashes, owner, at = hashes[hit], owner[hit], at[hit]
+                    hashes, owner, at, opened, own = hashes[hit], owner[hit], at[hit], opened[hit], own[hit]
                 if not len(hashes):
                     continue
-                slots = [value[a:b][slot[a:b]].view(np.int64).tolist() if slot[a:b].any() else [] for a, b in zip(at.tolist(), np.minimum(at + size, ends[owner]).tolist())]
+                slots = [value[a:b][slot[a:b]].view(np.int64).tolist() if slot[a:b].any() else [] for a, b, slot in zip(at.tolist(), np.minimum(at + size, ends[owner]).tolist(), (flags[k] for k in opened.tolist()))]
                 ids = batch.column(0).slice(i, j - i).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(hashes.view(np.int64)), pa.array(at), pa.array(slots, pa.list_(pa.int64()))], ["id", "w", "at", "slots"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(hashes.view(np.int64)), pa.array(own.view(np.int64)), pa.array(at), pa.array(slots, pa.list_(pa.int64()))], ["id", "w", "own", "at", "slots"])
 
-    return rows.mapInArrow(run, "id bigint, w bigint, at bigint, slots array<bigint>")
+    return rows.mapInArrow(run, "id bigint, w bigint, own bigint, at bigint, slots array<bigint>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, item_windows, matched, coverage, slots, conflicts): pairs of a document and an item that it holds.
 
-    coverage: share of the item's distinct windows found in the document. Rows that share a doc_id are judged
+    coverage: share of the item's distinct windows found in the document. matched, slots and conflicts count
+    windows with sentence openers as they are, or in either form where those alone do not suffice. Rows that share a doc_id are judged
     together, and so are items; null ids form one such group. Null and empty texts hold nothing and are held by nothing; an
     item of fewer than ``size`` tokens is held only by a document that consists of just it. Repeated rows and
     extra columns change nothing; empty tables give an empty result.
@@ -130,28 +163,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, similari
     spark = docs.sparkSession
     work = Work(spark, "decontaminate")
     items = _table(benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")), size)
-    items = items.groupBy("id", "w").agg(F.min_by(F.struct("at", "slots"), F.struct("at", F.to_json("slots"))).alias("s")).select(F.col("id").alias("item_id"), "w", F.col("s.at").alias("item_at"), F.col("s.slots").alias("item_slots"))
+    items = items.groupBy("id", "w", "own").agg(F.min_by(F.struct("at", "slots"), F.struct("at", F.to_json("slots"))).alias("s")).select(F.col("id").alias("item_id"), "w", "own", F.col("s.at").alias("item_at"), F.col("s.slots").alias("item_slots"))
     items = work.keep(items, "items")
     wanted = None
     if items.count() <= MOST_SENT:
         wanted = spark.sparkContext.broadcast(np.unique(items.select("w").toArrow().column(0).to_numpy().view(np.uint64)))
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    sizes = items.groupBy("item_id").agg(F.countDistinct("own").alias("item_windows"))
     found = _table(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), size, wanted).withColumnRenamed("id", "doc_id")
-    met = found.join(items, "w")
+    found = found.select("doc_id", "w", "at", "slots", (F.col("w") == F.col("own")).alias("plain"))
+    met = found.join(items, "w").withColumn("plain", F.col("plain") & (F.col("w") == F.col("own")))
+    # once with openers as they are on both sides (names l_...), once in either form (e_...)
+    pair = F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d"))
+    forms = (("l", lambda c: F.when(F.col("plain"), c)), ("e", lambda c: c))
     line = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set("item_at").alias("hits"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d"))))).alias("pairs"),
+        *(F.collect_set(of(F.col("own"))).alias(f"{x}_hits") for x, of in forms),
+        *(F.array_distinct(F.flatten(F.collect_set(of(pair)))).alias(f"{x}_pairs") for x, of in forms),
     )
-    line = line.withColumn("values", F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))))
+    for x, _ in forms:
+        line = line.withColumn(f"{x}_values", F.size(F.array_distinct(F.transform(f"{x}_pairs", lambda p: p["b"]))))
     whole = line.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("matched"),
-        F.sum("values").alias("slots"),
-        F.sum(F.size("pairs") - F.col("values")).alias("conflicts"),
+        *(F.size(F.array_distinct(F.flatten(F.collect_set(f"{x}_hits")))).alias(f"{x}_matched") for x, _ in forms),
+        *(F.sum(f"{x}_values").alias(f"{x}_slots") for x, _ in forms),
+        *(F.sum(F.size(f"{x}_pairs") - F.col(f"{x}_values")).alias(f"{x}_conflicts") for x, _ in forms),
     )
     sizes = sizes.withColumnRenamed("item_id", "of")
-    out = whole.join(sizes, F.col("item_id").eqNullSafe(F.col("of"))).withColumn("coverage", F.col("matched") / F.col("item_windows"))
-    kept = (F.col("coverage") >= similarity) & (F.col("conflicts") <= (1 - similarity) * F.col("slots"))
-    return out.where(kept).select("doc_id", "item_id", "item_windows", "matched", "coverage", "slots", "conflicts")
+    out = whole.join(sizes, F.col("item_id").eqNullSafe(F.col("of")))
+    kept = {x: (F.col(f"{x}_matched") / F.col("item_windows") >= similarity) & (F.col(f"{x}_conflicts") <= (1 - similarity) * F.col(f"{x}_slots")) for x, _ in forms}
+    out = out.where(kept["l"] | kept["e"])
+    for c in ("matched", "slots", "conflicts"):
+        out = out.withColumn(c, F.when(kept["l"], F.col(f"l_{c}")).otherwise(F.col(f"e_{c}")))
+    return out.select("doc_id", "item_id", "item_windows", "matched", (F.col("matched") / F.col("item_windows")).alias("coverage"), "slots", "conflicts")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -77,3 +77,19 @@ def test_reparameterised_and_inconsistent(spark):
 
 def test_empty_tables(spark):
     assert run(spark, [], [(1, ITEM)]) == {} and run(spark, [(1, ITEM)], []) == {}
+
+
+def test_names_that_open_sentences(spark):
+    tom = "Tom has 12 apples and 5 pears. Tom gives 3 apples to Mary. How many apples does Tom have left?"
+    betty = "Betty is saving money for a new wallet. Betty has only half of the money. Betty needs 100 dollars in total. How much more money does Betty need?"
+    maria = "Maria bakes 12 cakes in the morning. Maria sells 5 cakes at noon. How many cakes are left in the evening?"
+    ann = tom.replace("Tom", "Ann").replace("Mary", "Joe").replace("12", "40").replace("5", "9").replace("3", "8")
+    docs = [
+        (1, "Before. " + ann), (2, betty.replace("Betty", "Carla").replace("100", "2,500")), (3, "He said: " + maria.replace("Maria", "Zoe").replace("12", "7")),
+        (4, "Ann has 1 apples and 2 pears. Bob gives 3 apples to Mary. How many apples does Cyd have left?"), (5, tom), (6, "Ann has 7 dogs"), (7, "so then, " + ann),
+        (8, "The has 12 apples and 5 pears. Of gives 3 apples to Mary. How many apples does The have left?"), (9, "Tom has 12 oranges. Nobody knows how many pears Mary gives to Tom in the evening."),
+    ]
+    items = [(1, tom), (2, betty), (3, maria), (4, "Tom has 5 dogs")]
+    got = run(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (5, 1), (6, 4), (7, 1)}
+    assert all(matched <= windows for windows, matched in got.values())
