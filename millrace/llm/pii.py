@@ -19,12 +19,14 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: the usual groupings of a card, looked for at every place where digits begin: other numbers may stand beside it
+GROUPED = (r"[0-9]{13,19}", r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}", r"[0-9]{4}(?:[ -][0-9]{4}){3}", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}")
 SECRET = r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,64}(?![A-Za-z0-9])"
 #: in the order in which they are tried at a place
 KINDS = {"email": EMAIL, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "ipv4": IPV4, "secret": SECRET}
 ANY = "|".join(KINDS.values())
 #: what every match holds; texts without it are passed through after one cheap scan
-HINT = r"[0-9]{3}|[0-9]\.[0-9]|@|[0-9a-f]{16}"
+HINT = r"[0-9]{3}|[0-9][. -][0-9]|@|[0-9a-f]{16}"
 ROUNDS = 8
 #: days from 1800-01-01 on, one full cycle of the calendar: 189 x 773
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
@@ -109,6 +111,18 @@ def _unlike_valid(key: str) -> str:
     return f"aggregate(sequence(1, 64), named_struct('w', n, 'done', false), (g, z) -> if(g.done, g, {_let('g.w', 'w', _let(step, 'w', f'named_struct({chr(39)}w{chr(39)}, w, {chr(39)}done{chr(39)}, not {valid})'))}), g -> g.w)"
 
 
+def _around_cards() -> str:
+    """SQL for the pattern of ``text``: where it holds valid cards in usual groupings, with these ahead of all kinds and kept out of longer runs of digits."""
+    found = ", ".join(f"regexp_extract_all(text, {_lit(f'(?<![0-9])(?=({form})(?![0-9]))[0-9]')}, 1)" for form in GROUPED)
+    cards = f"array_distinct(filter(concat({found}), c -> {_let("regexp_replace(c, '[^0-9]', '')", "d", luhn_sum('d') + ' % 10 = 0')}))"
+    before, after = (CARD.split("[ -]?")[i] for i in (0, 1))
+    tempered = (before + r"(?![ -]\0)[ -]?" + after).split(r"\0")
+    kinds = "|".join(r"\0" if k == "card" else pattern for k, pattern in KINDS.items()).split(r"\0")
+    whole = f"concat(v, '|', {_lit(kinds[0] + tempered[0])}, v, {_lit(tempered[1] + kinds[1])})"
+    named = _let("concat('(?:(?<![0-9])(?:', array_join(cards, '|'), ')(?![0-9]))')", "v", whole)
+    return f"if(text rlike '[0-9](?:[ -]?[0-9]){{12}}', {_let(cards, 'cards', f'if(size(cards) = 0, {_lit(ANY)}, {named})')}, {_lit(ANY)})"
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``text`` rewritten, plus ``n_<kind>`` counts of what was replaced.
 
@@ -116,10 +130,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     of the counts' names are replaced. Matches that fail validation stay as they are. A text is read whole.
     """
     kinds = list(KINDS)
-    found = docs.withColumn("__pii", F.expr(f"if(text rlike {_lit(HINT)}, regexp_extract_all(text, {_lit(ANY)}, 0), cast(array() as array<string>))"))
+    found = docs.withColumn("__any", F.expr(_around_cards()))
+    found = found.withColumn("__pii", F.expr(f"if(text rlike {_lit(HINT)}, regexp_extract_all(text, __any, 0), cast(array() as array<string>))"))
     found = found.withColumn("__pii", F.expr(f"coalesce(transform(__pii, m -> {pseudonym('m', key)}), array())"))
-    pieces = f"zip_with(split(text, {_lit(ANY)}, -1), __pii, (a, h) -> concat(a, coalesce(h.value, '')))"
+    pieces = f"zip_with(split(text, __any, -1), __pii, (a, h) -> concat(a, coalesce(h.value, '')))"
     out = found.withColumn("text", F.expr(f"if(text is null or size(__pii) = 0, text, array_join({pieces}, ''))"))
     for k in kinds:
         out = out.withColumn(f"n_{k}", F.expr(f"size(filter(__pii, h -> h.kind = '{k}'))"))
-    return out.drop("__pii")
+    return out.drop("__pii", "__any")

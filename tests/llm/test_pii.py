@@ -81,3 +81,14 @@ def test_what_stays_and_odd_rows(spark):
     assert Counter((r.doc_id, r.text is None, r.n_card) for r in got) == Counter([(1, True, 0), (None, False, 1), (2, False, 2), (2, False, 2)])
     assert all(r.text.startswith("word word") and r.text.count(" end ") == 1 and card(5) not in r.text for r in got if r.doc_id == 2)
     assert pseudonymise(spark.createDataFrame([], "doc_id bigint, text string"), KEY).count() == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    visa, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [f"{visa} 12/26", f"{visa} 123", f"12 {visa}", f"1234 {visa} 2024-02-29", f"{visa} {visa}", f"7 {amex} 1234", "4111111111111111 123", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"]
+    got = one(spark, texts)
+    new = one(spark, [visa, amex])
+    assert [r.n_card for r in got] == [1, 1, 1, 1, 2, 1, 1, 1] and [r.n_date for r in got] == [0, 0, 0, 1, 0, 0, 0, 0]
+    assert [r.text for r in got[:3]] == [f"{new[0].text} 12/26", f"{new[0].text} 123", f"12 {new[0].text}"]
+    assert got[3].text.startswith(f"1234 {new[0].text} ") and got[4].text == f"{new[0].text} {new[0].text}" and got[5].text == f"7 {new[1].text} 1234"
+    assert got[6].text.replace(" ", "") == new[0].text.replace(" ", "") + "123" and got[7].text.replace(" ", "") == new[0].text.replace(" ", "")
