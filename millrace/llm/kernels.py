@@ -7,12 +7,14 @@ document rather than by the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
@@ -43,6 +45,35 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, as its number of bytes ``n`` and its compressed bytes ``z``; null counts as empty."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        offsets, data = text_bytes(batch.column(batch.num_columns - 1))
+        raw = memoryview(np.ascontiguousarray(data))
+        at = offsets.tolist()
+        cols = [pa.array(np.diff(offsets)), pa.array([squeeze(raw[a:b]) for a, b in zip(at, at[1:])], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], [*batch.schema.names[:-1], "n", "z"])
+    release()
+
+
+def slabs(n: pa.Array, z: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Some whole documents of packed texts at a time, expanded: the first, the one behind the last, their offsets and bytes."""
+    expand = zstandard.ZstdDecompressor().decompress
+    offsets = np.concatenate([[0], np.cumsum(n.to_numpy())])
+    for i, j in slices(offsets):
+        yield i, j, offsets[i : j + 1] - offsets[i], np.frombuffer(b"".join(expand(x) for x in z.slice(i, j - i).to_pylist()), np.uint8)
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker waiting for its next task is small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it keeps
+        pass
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base modulo 2**64 and their inverses, at least ``n`` of each."""
     global _powers, _inverse

@@ -50,12 +50,14 @@ class Work:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self.where: dict[str, str] = {}  # the last folder of each name
         if _RECORDS:
             _RECORDS[-1].append(self)
 
     def path(self, name: str) -> str:
         self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
+        self.where[name] = f"{self.root}/{self._n:03d}-{name}"
+        return self.where[name]
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return the table as read back: computed once, with measured sizes for the planner."""
@@ -77,5 +79,13 @@ class Work:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
