@@ -13,13 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
 from millrace.llm.components import components
-from millrace.llm.storage import Work, shuffle_partitions
+from millrace.llm.storage import Work, fresh, shuffle_partitions
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
@@ -30,6 +29,43 @@ _LINE = K.lut(b"\n")
 _KEYS = np.random.default_rng(77).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
+def pieces(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Offsets and bytes of some documents, and where those bytes begin in their document: all at once, or a long document's lines by and by."""
+    if len(offsets) > 2 or len(data) <= 2 * K.SLICE_BYTES:
+        yield offsets, data, 0
+        return
+    feeds = np.append(np.flatnonzero(data == 10) + 1, len(data))
+    a = 0
+    while a < len(data):
+        b = int(feeds[min(np.searchsorted(feeds, a + K.SLICE_BYTES), len(feeds) - 1)])
+        yield np.array([0, b - a]), data[a:b], a
+        a = b
+
+
+def word_hashes(low: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the words; none crosses a bound. Bytes are hashed some at a time, cut between words."""
+    starts, ends, hashes = [], [], []
+    a = 0
+    while a < len(low):
+        b = min(a + K.SLICE_BYTES, len(low))
+        while b < len(low):
+            gap = np.flatnonzero(~K.WORD[low[b : b + 4096]])
+            if len(gap):
+                b += int(gap[0])
+                break
+            b = min(b + 4096, len(low))
+        part = low[a:b]
+        edges = bounds[np.searchsorted(bounds, a) : np.searchsorted(bounds, b, side="right")] - a
+        s, e = K.runs(K.WORD[part], edges)
+        hashes.append(K.span_hash(K.prefix_sums(part), s, e))
+        starts.append(s + a)
+        ends.append(e + a)
+        a = b
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+
+
 class Paragraphs:
     """The paragraphs of some whole documents: owner, place in the document, identity, and shingles by ``bounds``.
 
@@ -40,23 +76,23 @@ class Paragraphs:
     def __init__(self, offsets: np.ndarray, data: np.ndarray):
         low = K.LOWER[data]
         start, end = K.runs(~_LINE[low], offsets)
-        ink = np.concatenate([[0], np.cumsum(K.NOT_SPACE[low])])
-        solid = ink[end] > ink[start]
-        start, end = start[solid], end[solid]
+        if len(start):  # behind a line there are line feeds only, up to the next one
+            solid = np.logical_or.reduceat(K.NOT_SPACE[low], start)
+            start, end = start[solid], end[solid]
         self.start, self.end = start, end
         self.owner = np.searchsorted(offsets, start, side="right") - 1
         first = np.searchsorted(self.owner, np.arange(len(offsets) - 1))
         self.place = np.arange(len(start)) - first[self.owner]
-        prefix = K.prefix_sums(low)
-        ws, we = K.runs(K.WORD[low], np.unique(np.concatenate([offsets, start, end])))
-        words = K.span_hash(prefix, ws, we)
+        ws, we, words = word_hashes(low, np.unique(np.concatenate([offsets, start, end])))
         lo, hi = np.searchsorted(ws, start), np.searchsorted(ws, end)
         self.n_words = hi - lo
         sums = np.zeros(len(words) + 1, np.uint64)
         pw, inv = K.powers(len(words) + 1)
         np.cumsum(words * pw[: len(words)], out=sums[1:])
-        whole = K.mix((sums[hi] - sums[lo]) * inv[lo] + self.n_words.astype(np.uint64))
-        self.identity = np.where(self.n_words > 0, whole, K.span_hash(prefix, start, end) ^ np.uint64(1))
+        self.identity = K.mix((sums[hi] - sums[lo]) * inv[lo] + self.n_words.astype(np.uint64))
+        for k in np.flatnonzero(self.n_words == 0):
+            line = low[start[k] : end[k]]
+            self.identity[k] = K.span_hash(K.prefix_sums(line), np.array([0]), np.array([len(line)]))[0] ^ np.uint64(1)
         grams = K.combine(words, SHINGLE)
         count = np.maximum(self.n_words - SHINGLE + 1, 1)
         self.bounds = np.concatenate([[0], np.cumsum(count)])
@@ -66,19 +102,25 @@ class Paragraphs:
         self.shingles[long] = grams[at[long]]
 
     def bands(self, which: np.ndarray) -> np.ndarray:
-        """(len(which), BANDS) band keys."""
-        out = np.zeros((len(which), BANDS), np.uint64)
+        """(BANDS, len(which)) band keys."""
+        out = np.zeros((BANDS, len(which)), np.uint64)
         if not len(which):
             return out
         count = np.diff(self.bounds)[which]
-        starts = np.cumsum(count) - count
-        shingles = self.shingles[np.arange(count.sum()) - np.repeat(starts, count) + np.repeat(self.bounds[which], count)]
-        for b in range(BANDS):
-            key = np.full(len(which), b + 1, np.uint64)
-            for r in range(ROWS):
-                hashed = (shingles ^ (shingles >> np.uint64(29))) * _KEYS[b * ROWS + r]
-                key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashed, starts))
-            out[:, b] = key
+        cuts = np.concatenate([[0], np.cumsum(count)])
+        a = 0
+        while a < len(which):
+            z = max(a + 1, int(np.searchsorted(cuts, cuts[a] + (1 << 16), side="right")) - 1)
+            n = count[a:z]
+            starts = cuts[a:z] - cuts[a]
+            shingles = self.shingles[np.arange(n.sum()) - np.repeat(starts, n) + np.repeat(self.bounds[which[a:z]], n)]
+            shingles ^= shingles >> np.uint64(29)
+            for b in range(BANDS):
+                key = np.full(z - a, b + 1, np.uint64)
+                for r in range(ROWS):
+                    key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(shingles * _KEYS[b * ROWS + r], starts))
+                out[b, a:z] = key
+            a = z
         return out
 
 
@@ -174,60 +216,44 @@ def near_links(left_ids: np.ndarray, left: list[np.ndarray], right_ids: np.ndarr
     return np.concatenate(a), np.concatenate(b)
 
 
-def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
+def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowded: int = CROWDED, rid: str | None = None) -> DataFrame:
     """(doc_id, rid, place, start, end, n_words, component, repeated, kept_in, keep): one row per paragraph of ``docs``.
 
-    ``rid`` tells rows apart that share a doc_id; start and end are byte offsets in the text. component is
-    the identity of the group, keep false for every paragraph but the group's first by (doc_id, rid, place),
-    null ids last; repeated
-    is true for all of a group of several, kept_in their first's doc_id. Null, empty and blank texts have no paragraphs. Extra columns are ignored.
+    ``rid`` tells rows apart that share a doc_id, or have none; it is numbered here, or taken from a bigint column of that
+    name. start and end are byte offsets in the text. component is the identity of the group, keep false for
+    every paragraph but the group's first by (doc_id, rid, place), null ids last; repeated is true for all of a
+    group of several, kept_in their first's doc_id. Null, empty and blank texts have no paragraphs; ties and
+    repeated rows are ordinary duplicates. Extra columns are ignored whatever their names; an empty table gives an
+    empty result. Texts are read whole, a long one some lines at a time: a worker's memory follows the longest
+    line, about forty times its bytes.
     """
     spark = docs.sparkSession
     work = Work(spark, "paragraphs")
     parts = shuffle_partitions(spark)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            offsets, data = K.text_bytes(batch.column(2))
-            raw = memoryview(np.ascontiguousarray(data))
-            at = offsets.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze(raw[a:b]) for a, b in zip(at, at[1:])], pa.binary())], ["rid", "doc_id", "z"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = work.keep(rows.mapInArrow(pack, "rid bigint, doc_id bigint, z binary"), "texts", "uncompressed")
-
-    def texts_of(z: pa.Array) -> tuple[np.ndarray, list[bytes]]:
-        expand = zstandard.ZstdDecompressor().decompress
-        texts = [expand(x) for x in z.to_pylist()]
-        return np.cumsum([0, *map(len, texts)]), texts
+    own = F.col(rid).cast("bigint") if rid else F.monotonically_increasing_id()
+    rows = docs.select(own.alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = work.keep(rows.mapInArrow(K.pack, "rid bigint, doc_id bigint, n bigint, z binary"), "texts", "uncompressed")
+    keys = [f"b{i}" for i in range(BANDS)]
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every paragraph's place and identity, and the band keys of those with more than one shingle."""
         for batch in batches:
-            offsets, texts = texts_of(batch.column(2))
-            for i, j in K.slices(offsets):
-                base_at = offsets[i:j] - offsets[i]
-                p = Paragraphs(offsets[i : j + 1] - offsets[i], np.frombuffer(b"".join(texts[i:j]), np.uint8))
-                who = pa.array(p.owner + i)
-                cols = [batch.column(0).take(who), batch.column(1).take(who), pa.array(p.place.astype(np.int32)), pa.array((p.start - base_at[p.owner]).astype(np.int32)), pa.array((p.end - base_at[p.owner]).astype(np.int32)), pa.array(p.n_words.astype(np.int32)), pa.array(p.identity.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "place", "start", "end", "n_words", "pid"])
-
-    where = work.keep(base.select("rid", "doc_id", "z").mapInArrow(locate, "rid bigint, doc_id bigint, place int, start int, end int, n_words int, pid bigint"), "places")
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = np.zeros(0, np.uint64)
-        for batch in batches:
-            offsets, texts = texts_of(batch.column(0))
-            for i, j in K.slices(offsets):
-                p = Paragraphs(offsets[i : j + 1] - offsets[i], np.frombuffer(b"".join(texts[i:j]), np.uint8))
-                own = np.flatnonzero(p.n_words > SHINGLE)  # shorter ones have one shingle: alike only if equal
-                _, first = np.unique(p.identity[own], return_index=True)
-                own = own[first]
-                own = own[~np.isin(p.identity[own], sent)]
-                sent = np.concatenate([sent[-(1 << 16) :], p.identity[own]])
-                for a in range(0, len(own), 4096):
-                    part = own[a : a + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array(p.bands(part).ravel().view(np.int64)), pa.array(np.repeat(p.identity[part], BANDS).view(np.int64))], ["band", "pid"])
+            for i, _, offsets, data in K.slabs(batch.column(2), batch.column(3)):
+                done = 0
+                for at, part, begin in pieces(offsets, data):
+                    p = Paragraphs(at, part)
+                    who = pa.array(p.owner + i)
+                    start = p.start - at[p.owner] + begin
+                    cols = [batch.column(0).take(who), batch.column(1).take(who), pa.array((p.place + done).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array((start + p.end - p.start).astype(np.int32)), pa.array(p.n_words.astype(np.int32)), pa.array(p.identity.view(np.int64))]
+                    short = p.n_words <= SHINGLE  # one shingle: alike only if equal
+                    bands = np.zeros((BANDS, len(short)), np.int64)
+                    bands[:, ~short] = p.bands(np.flatnonzero(~short)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([*cols, *(pa.array(b, mask=short) for b in bands)], ["rid", "doc_id", "place", "start", "end", "n_words", "pid", *keys])
+                    done += len(p.place)
+        K.release()
+
+    schema = "rid bigint, doc_id bigint, place int, start int, end int, n_words int, pid bigint, " + ", ".join(f"{k} bigint" for k in keys)
+    where = work.keep(base.mapInArrow(locate, schema), "places")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by band and paragraph: each band's different paragraphs, where there are more than one."""
@@ -247,7 +273,8 @@ def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowde
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(band[at], 2)), pa.array(np.stack([pid[at], pid[at + 1]], 1).ravel())], ["band", "pid"])
 
-    signed = base.select("z").mapInArrow(sign, "band bigint, pid bigint")
+    # equal paragraphs have equal keys: each is counted once before it is dealt by its bands
+    signed = where.where("b0 is not null").groupBy("pid").agg(*(F.min(k).alias(k) for k in keys)).select(F.explode(F.array(*keys)).alias("band"), "pid")
     members = work.keep(signed.repartition(parts, "band").sortWithinPartitions("band", "pid").mapInArrow(meet, "band bigint, pid bigint"), "members")
     work.release()
 
@@ -257,16 +284,21 @@ def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowde
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, texts = texts_of(batch.column(0))
-            wanted = batch.column(1)
-            for i, j in K.slices(offsets):
-                p = Paragraphs(offsets[i : j + 1] - offsets[i], np.frombuffer(b"".join(texts[i:j]), np.uint8))
-                first = np.searchsorted(p.owner, np.arange(j - i))
-                which = np.concatenate([first[d] + wanted[i + d].values.to_numpy() for d in range(j - i)])
-                sets = [np.unique(p.shingles[p.bounds[k] : p.bounds[k + 1]]) for k in which]
-                yield pa.RecordBatch.from_arrays([pa.array(p.identity[which].view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["pid", "shingles"])
-
-    shingles = work.keep(base.join(asked, "rid").select("z", "places").mapInArrow(fetch, "pid bigint, shingles binary"), "shingles")
+            wanted = batch.column(2)
+            for i, j, offsets, data in K.slabs(batch.column(0), batch.column(1)):
+                done = 0
+                for at, part, _ in pieces(offsets, data):
+                    p = Paragraphs(at, part)
+                    first = np.searchsorted(p.owner, np.arange(len(at) - 1)) - done
+                    which = np.concatenate([first[d] + wanted[i + d].values.to_numpy() for d in range(len(at) - 1)])
+                    which = which[(which >= 0) & (which < len(p.place))]
+                    done += len(p.place)
+                    sets = [np.unique(p.shingles[p.bounds[k] : p.bounds[k + 1]]).tobytes() for k in which]
+                    yield pa.RecordBatch.from_arrays([pa.array(p.identity[which].view(np.int64)), pa.array(sets, pa.binary())], ["pid", "shingles"])
+        K.release()
+
+    shingles = work.keep(base.join(asked, "rid").select("n", "z", "places").mapInArrow(fetch, "pid bigint, shingles binary"), "shingles")
+    work.drop(work.where["texts"])
     work.release()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,6 +327,7 @@ def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowde
                 held[pid] = x
         if held:
             yield from links()
+        K.release()
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links between two shares of a band, or inside one. Rows arrive sorted by pair of shares, then by share."""
@@ -316,6 +349,7 @@ def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowde
                 held.setdefault(own, {})[pid] = x
         if held:
             yield from links()
+        K.release()
 
     def checked(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "band", "share").sortWithinPartitions("band", "share", "pid").mapInArrow(verify, "band bigint, a bigint, b bigint")
@@ -370,8 +404,15 @@ def paragraph_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
 
 def remove_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the texts' removed paragraphs and their line ends taken out; needs one row per doc_id."""
-    gone = paragraph_duplicates(docs, similarity).where(~F.col("keep")).groupBy("doc_id").agg(F.collect_list("place").alias("__gone"))
+    """``docs`` with the texts' removed paragraphs and their line ends taken out; all columns kept.
+
+    Rows are told apart by number, so rows that share a doc_id or have none lose only their own paragraphs.
+    A null text stays null; an empty table gives an empty result.
+    """
+    rid, gone = fresh(docs, "rid"), fresh(docs, "gone")
+    base = Work(docs.sparkSession, "paragraphs").keep(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
+    found = paragraph_duplicates(base, similarity, rid=rid).where(~F.col("keep"))
+    found = found.groupBy(F.col("rid").alias(rid)).agg(F.collect_list("place").alias(gone))
     lines = "split(text, '\\n', -1)"
-    numbered = f"aggregate({lines}, named_struct('k', 0, 'out', cast(array() as array<string>)), (s, x) -> if(x rlike '[^\\\\x20\\\\x09-\\\\x0D]', named_struct('k', s.k + 1, 'out', if(array_contains(__gone, s.k), s.out, array_append(s.out, x))), named_struct('k', s.k, 'out', array_append(s.out, x))), s -> array_join(s.out, '\\n'))"
-    return docs.join(gone, "doc_id", "left").withColumn("text", F.expr(f"if(__gone is null, text, {numbered})")).drop("__gone")
+    numbered = f"aggregate({lines}, named_struct('k', 0, 'out', cast(array() as array<string>)), (s, x) -> if(x rlike '[^\\\\x20\\\\x09-\\\\x0D]', named_struct('k', s.k + 1, 'out', if(array_contains({gone}, s.k), s.out, array_append(s.out, x))), named_struct('k', s.k, 'out', array_append(s.out, x))), s -> array_join(s.out, '\\n'))"
+    return base.join(found, rid, "left").withColumn("text", F.expr(f"if({gone} is null, text, {numbered})")).drop(rid, gone)
