@@ -8,6 +8,8 @@ fetch the narrow columns only, and a filter on doc_id prunes row groups and page
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -60,13 +62,25 @@ def cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Whole-text encoding through remembered pieces: each distinct piece of a batch is looked up once, and only unknown ones reach the tokenizer."""
+    """Whole-text encoding through remembered pieces: each distinct piece of a batch is looked up once, and only unknown ones reach the tokenizer.
+
+    What the tokenizer adds to its vocabulary (special tokens) is met as the library meets it. Texts are cut
+    into pieces only where that is known to change nothing: by the byte-level word pattern, without
+    normalisation, and at added tokens that take no neighbours with them; else whole texts are encoded.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # a special token's name inside a text is ordinary text
+        spec = json.loads(self.tok.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        added = spec.get("added_tokens") or []
+        self.cuttable = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True and not before.get("add_prefix_space")
+        self.cuttable &= not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+        # the leftmost is met first, and of several there the longest
+        names = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, names)).encode()) if names else None
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -92,7 +106,19 @@ class Encoder:
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, and the number of ids of each."""
-        starts = cuts(offsets, data)
+        if not self.cuttable:
+            raw = np.ascontiguousarray(data).tobytes()
+            coded = [self.tok.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+            return np.array([i for ids in coded for i in ids], np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
+        spans = np.zeros((0, 2), offsets.dtype)
+        raw = memoryview(np.ascontiguousarray(data))
+        if self.added is not None and self.added.search(raw):
+            spans = np.array([(m.start() + a, m.end() + a) for a, b in zip(offsets.tolist(), offsets[1:].tolist()) for m in self.added.finditer(raw[a:b])], offsets.dtype).reshape(-1, 2)
+        # an added token stands alone, so what is around it is as good as a text of its own
+        starts = cuts(np.unique(np.concatenate([offsets, spans.ravel()])), data)
+        if len(spans):
+            of = np.maximum(np.searchsorted(spans[:, 0], starts, side="right") - 1, 0)
+            starts = starts[~((starts > spans[of, 0]) & (starts < spans[of, 1]))]
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         bounds = np.append(starts, len(data)).astype(np.int32)

@@ -10,20 +10,19 @@ from millrace.llm.storage import Work
 from millrace.llm.tokens import Encoder, read_tokens, token_metadata, tokens_roundtrip, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n\n b", "a  b", "a  b", "don't  'tis it's", "é ñ　x 　 y", "x" * 3000, "1 22 333  4444", "<|endoftext|> a <|endoftext|>", "😀".encode("utf-16", "surrogatepass").decode("utf-16") + " smile", "tab\t\tx \t y", "line\r\n \r\nend \n", "\x1c \x1d a", "a " * 40_000]
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n\n b", "a  b", "a  b", "don't  'tis it's", "é ñ　x 　 y", "x" * 3000, "1 22 333  4444", "<|endoftext|> a <|endoftext|>", "a<|endoftext|>b", "x  <|endoftext|>  y<|endoftext|><|endoftext|>", "<|endoftext", "\n<|endoftext|>\nz", "😀".encode("utf-16", "surrogatepass").decode("utf-16") + " smile", "tab\t\tx \t y", "line\r\n \r\nend \n", "\x1c \x1d a", "a " * 40_000]
 
 
 def plain(texts):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoder_equals_the_library(spark):
     texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rng = random.Random(5)
+    texts += ["".join(rng.choice(["ab", " ", "\n", "<|endoftext|>", "<|", "|>", "é"]) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
     texts += ["".join(rng.choice("ab Z.,'s\n\t 1é\u00a0\u3000×ß\u2028😀\u0301") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
     raw = [t.encode() for t in texts]
     enc = Encoder(PATH)
@@ -60,5 +59,21 @@ def test_files_have_indexes_and_selective_reads(spark):
         write_tokens(docs, path, PATH, 2, encoding="plain")
 
 
+def test_other_pre_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    with open(PATH) as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    enc, texts = Encoder(str(tmp_path / "t.json")), ["a b", "", " é <|endoftext|>x"]
+    raw = [t.encode() for t in texts]
+    ids, counts = enc.encode(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
+    from tokenizers import Tokenizer
+
+    want = [e.ids for e in Tokenizer.from_file(str(tmp_path / "t.json")).encode_batch(texts, add_special_tokens=False)]
+    assert not enc.cuttable and [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 def test_empty_table(spark):
     assert tokens_roundtrip(spark.createDataFrame([], "doc_id bigint, text string"), PATH, 2).count() == 0
