@@ -1,6 +1,8 @@
 import re
 
-from millrace.llm.decontaminate import UNITS, contamination
+import pytest
+
+from millrace.llm.decontaminate import UNITS, contamination, without_contaminated
 
 
 def tokens(text):
@@ -21,11 +23,19 @@ def tokens(text):
     return out
 
 
-def grams(text, size=5):
+def grams(text, size=5, lines=False):
     t = tokens(text)
     k = min(size, len(t))
+    spans = [(i, k) for i in range(len(t) - k + 1 if t else 0)]
+    if lines:
+        at = 0
+        for line in (text or "").split("\n"):
+            n = len(tokens(line))
+            if 0 < n < size and n < len(t):
+                spans.append((at, n))
+            at += n
     out = []
-    for i in range(len(t) - k + 1 if t else 0):
+    for i, k in spans:
         w = t[i : i + k]
         literal = sum(not f.startswith("#") for _, f in w)
         out.append((i, tuple(f for _, f in w) if literal >= min(2, k) else tuple(("=", v) for v, _ in w), [v for v, f in w if f.startswith("#")]))
@@ -40,7 +50,7 @@ def brute(docs, items):
             mine.setdefault(w, (at, s))
         for d, doc in docs:
             hits, lines = set(), {}
-            for at, w, s in grams(doc):
+            for at, w, s in grams(doc, lines=True):
                 if w in mine:
                     hits.add(w)
                     lines.setdefault(at - mine[w][0], set()).update(zip(mine[w][1], s))
@@ -51,15 +61,16 @@ def brute(docs, items):
     return out
 
 
-def run(spark, docs, items):
-    got = contamination(spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as item_id", "2 as w"), spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 as doc_id"))
+def run(spark, docs, items, **options):
+    got = contamination(spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as item_id", "2 as w"), spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 as doc_id"), **options)
     return {(r.doc_id, r.item_id): (r.item_windows, r.matched) for r in got.collect()}
 
 
-def test_tables_match_brute_force(spark):
+@pytest.mark.parametrize("most_sent", [1 << 22, 0])
+def test_tables_match_brute_force(spark, most_sent):
     docs, items = ([tuple(r) for r in spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").select(i, "text").collect()] for t, i in (("documents", "doc_id"), ("benchmark", "item_id")))
     want = brute(docs, items)
-    assert want and run(spark, docs, items) == want
+    assert want and run(spark, docs, items, most_sent=most_sent) == want
 
 
 ITEM = "A train leaves Paris with 120 people. In Lyon 35 people get off and 120 kg of mail come on. How many people of Paris were left in Lyon?"
@@ -79,6 +90,23 @@ def test_empty_tables(spark):
     assert run(spark, [], [(1, ITEM)]) == {} and run(spark, [(1, ITEM)], []) == {}
 
 
+def test_rows_are_told_apart(spark):
+    a, b = ITEM[: len(ITEM) // 2], ITEM[len(ITEM) // 2 :]
+    docs = spark.createDataFrame([(None, a, 1), (None, b, 2), (None, "nothing of it here at all", 3), (7, a, 4), (7, b, 5), (7, ITEM, 6), (7, ITEM, 7), (8, None, 8)], "doc_id bigint, text string, __of int")
+    docs = docs.selectExpr("*", "1 as __rid", "2 as digest", "3 as item", "4 as `a.b`")
+    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (None, b + " And then, what else was there?"), (None, "what of the other half now?")], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contamination(docs, items).collect()) == [(7, 1), (7, 1)]
+    kept = without_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r["__of"] for r in kept.collect()) == [1, 2, 3, 4, 5, 8]
+    assert without_contaminated(docs.limit(0), items).count() == 0 and without_contaminated(docs, items.limit(0)).count() == 8
+
+
+def test_short_items_are_found_by_line(spark):
+    docs = [(1, "some words before\nWho is it?\nand some after it"), (2, "who is it? a line that goes on"), (3, "Who is it"), (4, "x\nwho is\nit"), (5, "a b\nc")]
+    items = [(1, "Who is it?"), (2, "a b c")]
+    assert set(run(spark, docs, items)) == {(1, 1), (3, 1), (5, 2)} and run(spark, docs, items) == brute(docs, items)
+
+
 def test_names_that_open_sentences(spark):
     tom = "Tom has 12 apples and 5 pears. Tom gives 3 apples to Mary. How many apples does Tom have left?"
     betty = "Betty is saving money for a new wallet. Betty has only half of the money. Betty needs 100 dollars in total. How much more money does Betty need?"
