@@ -57,7 +57,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", mixed.draws["shard"].alias("shards"), mixed.draws["place"].alias("places"))
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
