@@ -1,15 +1,17 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has a tree of byte contexts of up to ``max_order`` bytes. A byte is coded in the longest
-known context; where it was never seen there, an escape is coded and the next shorter context takes
-over, without the bytes that the longer one would have coded (method C with exclusion). Statistics are
-frozen after training, so a byte's code length depends on its context only and whole batches are scored
-by table look-ups; a text's language is the one with the shortest code.
+Each language has a tree of byte contexts of up to ``ORDER`` bytes, kept as sorted keys. A byte is coded in
+the longest known context; where it was never seen there, an escape is coded and the next shorter context
+takes over, without the bytes that the longer one would have coded (method C with exclusion). Statistics
+are frozen after training, so a byte's code length depends on its context only: an escape's cost and that
+of the shorter context add up, and each different run of bytes in a batch is costed once. A text's
+language is the one with the shortest code.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,132 +21,149 @@ from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
 from millrace.llm.learning import bounded_sample, held_out, learnable
+from millrace.llm.storage import Work
 
-SYMBOLS = 128  # the last stands for every byte that is not among the most frequent ones
-ORDER = 3
-#: cells of the cost table: contexts x symbols x languages; the most frequent contexts are kept
-MAX_CELLS = 1 << 23
+#: longest context in bytes; a context and its byte fit in a machine word
+ORDER = 4
+#: a context of two bytes or more that was seen less often is left out, in training texts of any size
+LEAST = 2
+_PAD = 32  # a document begins as after blanks
 
 
-def _contexts(sym: np.ndarray, starts: np.ndarray, start_sym: int) -> list[np.ndarray]:
-    """Symbols one, two and three places back; a document begins after ``start_sym`` three times."""
-    out = []
+def _low(n: int) -> np.int64:
+    """A mask of the last ``n`` bytes."""
+    return np.int64((1 << (8 * n)) - 1)
+
+
+def grams(data: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Of the bytes a .. b - 1, each with the ``ORDER`` bytes before it in its document, the last byte lowest. ``starts``: where documents begin."""
+    out = data[a:b].astype(np.int64)
     for back in range(1, ORDER + 1):
-        c = np.full(len(sym), start_sym, np.int64)
-        c[back:] = sym[:-back]
+        c = np.full(b - a, _PAD, np.int64)
+        skip = max(0, back - a)
+        c[skip:] = data[a + skip - back : b - back]
         for k in range(back):
-            at = starts + k
-            at = at[at < len(sym)]
-            c[at] = start_sym
-        out.append(c)
+            at = starts[np.searchsorted(starts, a - k) : np.searchsorted(starts, b - k)] + k - a
+            c[at] = _PAD
+        out |= c << np.int64(8 * back)
     return out
 
 
-class Model:
-    """languages, byte -> symbol table, 3-symbol context -> row, and code lengths in bits by (row, symbol, language)."""
+@dataclass
+class Layer:
+    """Contexts of one length: seen (context, byte) with its bits, and each context with the bits of its escape."""
+
+    seen: np.ndarray
+    bits: np.ndarray
+    context: np.ndarray
+    escape: np.ndarray
+
+
+def tree(gram: np.ndarray, count: np.ndarray, least: int = LEAST) -> list[Layer]:
+    """One language's contexts from counts of (``ORDER`` bytes, byte), shortest first."""
+    layers: list[Layer] = []
+    for k in range(ORDER + 1):
+        seen, at = np.unique(gram & _low(k + 1), return_inverse=True)
+        n_seen = np.bincount(at, weights=count, minlength=len(seen))
+        context, of = np.unique(seen >> 8, return_inverse=True)
+        n, q = np.bincount(of, weights=n_seen, minlength=len(context)), np.bincount(of, minlength=len(context))
+        if k > 1:
+            known = n >= least
+            mine = known[of]
+            seen, n_seen, context, n, q = seen[mine], n_seen[mine], context[known], n[known], q[known]
+            of = (np.cumsum(known) - 1)[of[mine]]
+        if k:
+            shorter = layers[-1]  # whatever is seen after a context is seen after its end, at least as often
+            before = np.exp2(-shorter.bits[np.searchsorted(shorter.seen, seen & _low(k))])
+        else:
+            before = np.full(len(seen), 1 / 256)
+        left = 1 - np.bincount(of, weights=before, minlength=len(context))
+        escapes = left > 1e-9  # else every byte that the shorter context knows was seen here
+        bits = np.log2((n + np.where(escapes, q, 0))[of] / n_seen)
+        escape = np.where(escapes, np.log2((n + q) / q * np.maximum(left, 1e-9)), 40.0)
+        layers.append(Layer(seen, bits, context, escape))
+    return layers
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(sorted_keys, keys), max(len(sorted_keys) - 1, 0))
+    return at, (sorted_keys[at] == keys) if len(sorted_keys) else np.zeros(len(keys), bool)
 
-    def __init__(self, languages: list[str], symbol: np.ndarray, row: np.ndarray, bits: np.ndarray, start_sym: int):
-        self.languages, self.symbol, self.row, self.bits, self.start_sym = languages, symbol, row, bits, start_sym
+
+class Model:
+    """Languages in order, each with its tree."""
+
+    def __init__(self, trees: dict[str, list[Layer]]):
+        self.languages = sorted(trees)
+        self.trees = [trees[x] for x in self.languages]
+
+    def costs(self, layers: list[np.ndarray], shorter: list[np.ndarray]) -> np.ndarray:
+        """Bits of the different runs of ``ORDER`` + 1 bytes, layers[-1], under each language; layers[k] are those of k + 1 bytes, shorter[k] their places in layers[k - 1]."""
+        out = np.empty((len(self.trees), len(layers[-1])))
+        for i, t in enumerate(self.trees):
+            cost = np.full(1, 8.0)
+            for k, runs in enumerate(layers):
+                at, hit = _find(t[k].seen, runs)
+                place, known = _find(t[k].context, runs >> 8)
+                below = cost[shorter[k]]
+                if len(t[k].context):
+                    below = below + np.where(known, t[k].escape[place], 0.0)
+                cost = np.where(hit, t[k].bits[at], below) if len(t[k].seen) else below
+            out[i] = cost
+        return out
 
     def code_lengths(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Bits of each document under each language."""
-        out = np.zeros((len(offsets) - 1, len(self.languages)))
-        full = np.flatnonzero(offsets[1:] > offsets[:-1])
-        if not len(full):
-            return out
-        starts = offsets[full]
-        sym = self.symbol[data].astype(np.int64)
-        c1, c2, c3 = _contexts(sym, starts, self.start_sym)
-        cell = self.row[(c3 * SYMBOLS + c2) * SYMBOLS + c1].astype(np.int64) * SYMBOLS + sym
-        cost = self.bits.reshape(-1, len(self.languages))[cell]
-        out[full] = np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
+        """Bits of each document under each language; bytes are costed some at a time, so memory does not follow a document's length."""
+        out = np.zeros((len(offsets) - 1, len(self.trees)))
+        starts = np.unique(offsets[:-1][offsets[1:] > offsets[:-1]])
+        owners = np.flatnonzero(offsets[1:] > offsets[:-1])
+        for a in range(0, len(data), K.SLICE_BYTES):
+            b = min(a + K.SLICE_BYTES, len(data))
+            runs, where = np.unique(grams(data, starts, a, b), return_inverse=True)
+            layers, shorter = [runs], []
+            for k in range(ORDER, 0, -1):
+                less, at = np.unique(layers[0] & _low(k), return_inverse=True)
+                layers.insert(0, less)
+                shorter.insert(0, at)
+            shorter.insert(0, np.zeros(len(layers[0]), np.int64))
+            first = int(np.searchsorted(starts, a, side="right")) - 1
+            last = int(np.searchsorted(starts, b))
+            cuts = np.maximum(starts[first:last] - a, 0)
+            for i, cost in enumerate(self.costs(layers, shorter)):
+                out[owners[first:last], i] += np.add.reduceat(cost[where], cuts)
         return out
 
 
-def build(languages: list[str], grams: np.ndarray, lang: np.ndarray, count: np.ndarray, symbol: np.ndarray, start_sym: int, max_cells: int = MAX_CELLS) -> Model:
-    """The model from counts of (3-symbol context, symbol) by language; ``grams`` holds four symbols, the last one coded."""
-    n_lang = len(languages)
-    bits_each = SYMBOLS.bit_length() - 1
-    uniform = np.full((1, SYMBOLS, n_lang), 1.0 / SYMBOLS, np.float32)
-    probs, of_suffix = [uniform], np.zeros(1, np.int64)
-    base, room = 1, max(2, max_cells // (SYMBOLS * n_lang))
-    for order in range(ORDER + 1):
-        context = (grams >> bits_each) & ((1 << (bits_each * order)) - 1)
-        known, inv = np.unique(context, return_inverse=True)
-        weight = np.bincount(inv, weights=count, minlength=len(known))
-        if len(known) > room:
-            known = np.sort(known[np.argsort(-weight, kind="stable")[:room]])
-        room -= len(known)
-        at = np.searchsorted(known, context)
-        at[at == len(known)] = 0
-        ok = known[at] == context if len(known) else np.zeros(len(context), bool)
-        seen = np.zeros((len(known), SYMBOLS, n_lang), np.float32)
-        np.add.at(seen, (at[ok], grams[ok] & (SYMBOLS - 1), lang[ok]), count[ok])
-        parent_row = of_suffix[known & ((1 << (bits_each * max(order - 1, 0))) - 1)] if order else np.zeros(len(known), np.int64)
-        flat = np.concatenate(probs) if len(probs) > 1 else probs[0]
-        parent = flat[parent_row]
-        n, q = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        left = 1.0 - np.where(seen > 0, parent, np.float32(0)).sum(1, keepdims=True)
-        escape = np.where(left > 1e-9, q / np.maximum(n + q, 1) / np.maximum(left, 1e-9), 0)
-        here = np.where(seen > 0, seen / np.maximum(n + q, 1), escape * parent)
-        here = np.where(n > 0, here, parent)
-        here /= here.sum(1, keepdims=True)
-        probs = [flat, here.astype(np.float32)]
-        # every context of this order: its own row if known, else that of its suffix
-        size = 1 << (bits_each * order)
-        wider = of_suffix[np.arange(size) & ((1 << (bits_each * max(order - 1, 0))) - 1)] if order else np.zeros(1, np.int64)
-        wider = wider.copy()
-        wider[known] = base + np.arange(len(known))
-        of_suffix = wider
-        base += len(known)
-    flat = np.concatenate(probs)
-    return Model(languages, symbol, of_suffix.astype(np.int32), (-np.log2(np.maximum(flat, 1e-12))).astype(np.float32), start_sym)
-
-
-def train(docs: DataFrame, docs_per_language: int = 600, max_cells: int = MAX_CELLS) -> Model | None:
+def train(docs: DataFrame, docs_per_language: int = 600) -> Model | None:
     """A model from about ``docs_per_language`` whole texts of each language among the learnable rows; None without any.
 
-    The sample bounds what reaches the driver: counts of distinct four-symbol runs.
+    That sample is written once; a task builds the tree of a language, and only trees reach the driver.
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = bounded_sample(rows, "lang", docs_per_language)
-
-    def bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        langs: set[str] = set()
-        for batch in batches:
-            total += np.bincount(K.text_bytes(batch.column(0))[1], minlength=256)
-            langs.update(batch.column(1).unique().to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64())), pa.array([sorted(langs)], pa.list_(pa.string()))], ["total", "langs"])
-
-    parts = sample.select("text", "lang").mapInArrow(bytes_seen, "total array<bigint>, langs array<string>")
-    total = {r.b: r.n for r in parts.select(F.posexplode("total").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(r[0] for r in parts.select(F.explode("langs")).distinct().collect())
-    if not languages:
-        return None
-    seen = np.array([total.get(b, 0) for b in range(256)])
-    frequent = [int(b) for b in np.argsort(-seen, kind="stable")[: SYMBOLS - 1] if seen[b]]
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    symbol[frequent] = np.arange(len(frequent))
-    start_sym = int(symbol[32])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = K.text_bytes(batch.column(0))
-            which = np.array([languages.index(x) for x in batch.column(1).to_pylist()], np.int64)
-            for i, j in K.slices(offsets):
-                at = offsets[i : j + 1] - offsets[i]
-                part = symbol[data[offsets[i] : offsets[j]]].astype(np.int64)
-                if not len(part):
-                    continue
-                c1, c2, c3 = _contexts(part, at[:-1][at[1:] > at[:-1]], start_sym)
-                gram = ((c3 * SYMBOLS + c2) * SYMBOLS + c1) * SYMBOLS + part
-                both, n = np.unique(gram * len(languages) + np.repeat(which[i:j], np.diff(at)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(n)], ["gram", "n"])
-
-    table = sample.select("text", "lang").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-    return build(languages, gram // len(languages), gram % len(languages), n, symbol, start_sym, max_cells)
+    work = Work(docs.sparkSession, "language")
+    sample = work.keep(bounded_sample(rows, "lang", docs_per_language), "sample")
+
+    def build(table: pa.Table) -> pa.Table:
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        for chunk in table.column("text").chunks:
+            offsets, data = K.text_bytes(chunk)
+            starts = np.unique(offsets[:-1][offsets[1:] > offsets[:-1]])
+            for a in range(0, len(data), K.SLICE_BYTES):
+                counts.append(np.unique(grams(data, starts, a, min(a + K.SLICE_BYTES, len(data))), return_counts=True))
+        gram, at = np.unique(np.concatenate([g for g, _ in counts] or [np.zeros(0, np.int64)]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([n for _, n in counts] or [np.zeros(0)]), minlength=len(gram))
+        layers = tree(gram, n)
+        parts = [pa.array([getattr(x, f).tobytes() for x in layers], pa.binary()) for f in ("seen", "bits", "context", "escape")]
+        lang = table.column("lang")[0].as_py()
+        K.release()
+        return pa.table([pa.array([lang] * len(layers), pa.string()), pa.array(range(len(layers)), pa.int32()), *parts], ["lang", "layer", "seen", "bits", "context", "escape"])
+
+    got = sample.select("lang", "text").groupBy("lang").applyInArrow(build, "lang string, layer int, seen binary, bits binary, context binary, escape binary")
+    trees: dict[str, list[Layer]] = {}
+    for r in sorted(got.collect(), key=lambda r: (r.lang, r.layer)):  # bounded by the sample
+        trees.setdefault(r.lang, []).append(Layer(np.frombuffer(r.seen, np.int64), np.frombuffer(r.bits), np.frombuffer(r.context, np.int64), np.frombuffer(r.escape)))
+    work.drop(work.root)
+    return Model(trees) if trees else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -152,7 +171,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. score: the
     prediction's posterior under equal priors, from the code lengths. Ties go to the smaller name. Repeated
-    rows are repeated, extra columns ignored; an empty table gives an empty result.
+    rows are repeated, extra columns ignored whatever their names; an empty table gives an empty result. Texts are read
+    whole, half a megabyte at a time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -164,15 +184,14 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             offsets, data = K.text_bytes(text)
             names, score, rate = np.full(len(text), "und", object), np.zeros(len(text)), np.zeros(len(text))
             if m is not None:
-                for i, j in K.slices(offsets):
-                    bits = m.code_lengths(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
-                    best = bits.argmin(1)
-                    low = bits.min(1)
-                    names[i:j] = np.array(m.languages, object)[best]
-                    score[i:j] = 1.0 / np.exp2(low[:, None] - bits).sum(1)
-                    rate[i:j] = low / np.maximum(np.diff(offsets[i : j + 1]), 1)
+                bits = m.code_lengths(offsets, data)
+                low = bits.min(1)
+                names[:] = np.array(m.languages, object)[bits.argmin(1)]
+                score = 1.0 / np.exp2(low[:, None] - bits).sum(1)
+                rate = low / np.maximum(np.diff(offsets), 1)
             names[~letter], score[~letter] = "und", 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+        K.release()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, bits_per_byte double")
