@@ -52,6 +52,32 @@ def replace_all(text: Column, search: list[str], replacement: list[str]) -> Colu
     return interleave(text, "|".join(re.escape(s) for s in search if s), lambda m: F.element_at(table, m))
 
 
+def replace_one(text: Column, search: str, replacement: str | None) -> Column:
+    """A literal replaced everywhere; without a replacement U+0000 takes its place."""
+    return F.replace(text, F.lit(search), F.lit("\0" if replacement is None else replacement)) if search else text
+
+
+#: stands for a distance beyond the bound
+FAR = 2**31 - 1
+
+
+def levenshtein(a: Column, b: Column, bound: int | None = None) -> Column:
+    """Edit distance; with a bound, ``FAR`` for every distance above it, which ends the computation early."""
+    if bound is None:
+        return F.levenshtein(a, b)
+    distance = F.levenshtein(a, b, bound)
+    return F.when(distance < 0, F.lit(FAR)).otherwise(distance)
+
+
+def not_null(text: Column, otherwise: str = "") -> Column:
+    return F.coalesce(text, F.lit(otherwise))
+
+
+def is_printable(code: Column) -> Column:
+    """Whether a byte is a printing ASCII character or a blank."""
+    return code.between(32, 126)
+
+
 def escape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))
 
@@ -135,6 +161,6 @@ def hex_dump(text: Column) -> Column:
     def line(s: Column) -> Column:
         cells = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.concat(F.lower(F.lpad(F.hex(F.ascii(c).bitwiseAND(F.lit(255))), 2, "0")), F.lit(" ")))
         hexes = F.rpad(F.array_join(cells, ""), 48, " ")
-        return F.concat(hexes, F.lit(" "), F.regexp_replace(s, "[^\\x20-\\x7e]", "."), F.when(F.length(s) == 16, F.lit("\n")).otherwise(F.lit("")))
+        return F.concat(hexes, F.lit(" "), F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.when(is_printable(F.ascii(c)), c).otherwise(F.lit("."))), ""), F.when(F.length(s) == 16, F.lit("\n")).otherwise(F.lit("")))
 
     return F.when(F.length(text) == 0, F.lit("")).otherwise(F.array_join(F.transform(lines, line), ""))

@@ -16,6 +16,22 @@ def round_down(ts: Column, unit: str) -> Column:
     return F.date_trunc(unit, ts)
 
 
+#: calendar fields: the date pattern of each
+FIELDS = {"year": "yyyy", "month": "M", "day": "d", "hour": "H", "minute": "m", "second": "s"}
+
+
+def field(ts: Column, name: str) -> Column:
+    """A calendar field as a number; months count from 1."""
+    if name not in FIELDS:
+        raise ValueError(f"unknown field {name!r}; one of {tuple(FIELDS)}")
+    return F.date_format(ts, FIELDS[name]).cast("int")
+
+
+def zone_offset_ms(ts: Column, zone: str) -> Column:
+    """By how many milliseconds the clocks of ``zone`` are ahead of UTC at the instant ``ts``."""
+    return F.unix_millis(F.from_utc_timestamp(ts.cast("timestamp"), zone)) - F.unix_millis(ts.cast("timestamp"))
+
+
 def older_than(ts: Column, days: int, now: Column) -> Column:
     """Whether ``ts`` lies more than ``days`` times 24 hours before ``now``."""
     return F.unix_micros(ts.cast("timestamp")) < F.unix_micros(now.cast("timestamp")) - days * DAY * 1000

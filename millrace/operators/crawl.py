@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,17 +136,18 @@ def page_links(pages: DataFrame, compat: bool = False) -> DataFrame:
     return found.select("host", "path", to.alias("to"), "l.label").select("host", "path", F.col("to.host").alias("link_host"), F.col("to.path").alias("link_path"), "to.scheme", "label")
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, follow: list[str], dont_follow: list[str] = (), max_depth: int = 100) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, follow: list[str], dont_follow: list[str] = (), max_depth: int | None = None) -> DataFrame:
     """(host, path, label, depth, parent) of all items reached from ``seeds`` (host, path) over the links of ``pages``.
 
     An item is a (host, path) and is reached once, at its least depth; a page that is not in ``pages`` has no
-    links. The parent and label are the smallest of those that reach it first.
+    links. The parent and label are the smallest of those that reach it first. Levels follow until none is new,
+    or up to ``max_depth`` where that is given.
     """
     link = cut(page_links(pages).where(follows(F.col("link_path"), follow, dont_follow)))
     none = F.lit(None).cast("string")
     level = cut(seeds.select("host", "path").distinct().select("host", "path", none.alias("label"), F.lit(0).alias("depth"), none.alias("parent")))
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         out = link.join(level.select("host", "path"), ["host", "path"])
         best = F.min(F.struct(F.col("path").alias("parent"), "label"))
         new = out.groupBy(F.col("link_host").alias("host"), F.col("link_path").alias("path")).agg(best.alias("b")).join(seen.select("host", "path"), ["host", "path"], "left_anti")
@@ -156,6 +158,37 @@ def crawl(pages: DataFrame, seeds: DataFrame, follow: list[str], dont_follow: li
     return seen
 
 
+def outcomes(attempts: DataFrame, sane: list[str] = (), insane: list[str] = (), retry: list[str] = (), max_retries: int = -1, use_proxies: bool = False) -> DataFrame:
+    """(host, path, state, attempts, error_status, html): what became of each item, from requests (host, path, attempt, status, html).
+
+    An item is tried ``max_retries`` times, or 20 times with proxies and once without where that is not above
+    zero; later attempts do not count. The first accepted and sane answer makes it ``ok`` and gives its page. Else it is
+    ``retry`` while attempts are left, to be asked for again, and then ``failed``: the error list. error_status
+    is the last answer's status if that was the trouble, else null.
+    """
+    limit = max_retries if max_retries > 0 else 20 if use_proxies else 1
+    good = accepted(F.col("status")) & (sanity(F.coalesce("html", F.lit("")), sane, insane, retry) == "ok")
+    tried = attempts.where(F.col("attempt") <= limit).withColumn("good", F.coalesce(good, F.lit(False)))
+    out = tried.groupBy("host", "path").agg(
+        F.min(F.when(F.col("good"), F.col("attempt"))).alias("won"), F.count("*").alias("tries"),
+        F.max_by(F.when(~F.coalesce(accepted(F.col("status")), F.lit(False)), F.col("status")), "attempt").alias("last"), F.min_by(F.when(F.col("good"), F.col("html")), F.when(F.col("good"), F.col("attempt"))).alias("html"),
+    )
+    ok = F.col("won").isNotNull()
+    state = F.when(ok, F.lit("ok")).when(F.col("tries") < limit, F.lit("retry")).otherwise(F.lit("failed"))
+    return out.select("host", "path", state.alias("state"), F.when(ok, F.col("won")).otherwise(F.col("tries")).cast("bigint").alias("attempts"), F.when(~ok, F.col("last")).alias("error_status"), "html")
+
+
+# fixed values: the names under which a result row tells where it comes from
+DEEPLINK, DEPTH, ORIGINAL_PAGE = "deeplink", "crawlItem.depth", "originalPage"
+
+
+def result_rows(rows: DataFrame) -> DataFrame:
+    """Rows (values map, host, path, depth, html) with the item's link, depth and page added to ``values``, over keys of those names."""
+    own = F.create_map(F.lit(DEEPLINK), F.concat("host", "path"), F.lit(DEPTH), F.col("depth").cast("string"), F.lit(ORIGINAL_PAGE), F.col("html"))
+    others = F.map_filter("values", lambda k, v: ~k.isin(DEEPLINK, DEPTH, ORIGINAL_PAGE))
+    return rows.withColumn("values", F.map_concat(others, own))
+
+
 def overlay_rows(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Scraped rows (id, values map) whose value ``$followurl$<url>`` names a page: its first row's non-blank values are laid over.
 

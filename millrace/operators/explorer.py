@@ -58,6 +58,21 @@ def sort_by(df: DataFrame, column: str, ascending: bool = True, ignore_case: boo
     return df.orderBy(by.asc_nulls_first() if ascending else by.desc_nulls_last())
 
 
+def sort_keys(df: DataFrame, *keys: tuple[str, bool, bool]) -> DataFrame:
+    """Order by several columns, each (name, ascending, ignore case); null the smallest."""
+    order = []
+    for name, ascending, ignore_case in keys:
+        by = F.lower(name) if ignore_case else F.col(name)
+        order.append(by.asc_nulls_first() if ascending else by.desc_nulls_last())
+    return df.orderBy(*order)
+
+
+def dump_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(n_rows, size): the number of records, and how many bytes their cells and separators take as text."""
+    line = F.concat_ws("\t", *[cell_text(df, c) for c in columns])
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.octet_length(line) + 1), F.lit(0)).alias("bytes")).select("n_rows", size_text(F.col("bytes")).alias("size"))
+
+
 def size_text(n: Column) -> Column:
     """A number of bytes with its unit; the next unit takes over at half of it, by whole division."""
     kb, mb, gb = 1024, 1024**2, 1024**3

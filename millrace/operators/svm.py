@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, ProbabilisticClassificationModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.lineage import cut
+from millrace.plans.running import running
+
 
 def feature_dictionary(features: DataFrame, name: str, order: str) -> DataFrame:
     """(feature, idx): names numbered from 1 by first occurrence."""
     first = features.groupBy(F.col(name).alias("feature")).agg(F.min(order).alias("first"))
-    return first.select("feature", F.row_number().over(Window.orderBy("first", "feature")).alias("idx"))
+    return running(first, [F.col("first"), F.col("feature")], "idx").select("feature", (F.col("idx") + 1).alias("idx"))
 
 
 def training_set(*classes: DataFrame) -> DataFrame:
@@ -33,16 +37,24 @@ def fit_scale(entries: DataFrame, n_rows: int) -> DataFrame:
     return out.select("idx", F.when(absent, F.least("low", F.lit(0.0))).otherwise(F.col("low")).alias("low"), F.when(absent, F.greatest("high", F.lit(0.0))).otherwise(F.col("high")).alias("high"))
 
 
+#: features up to which their ranges are sent to every task (some 30 bytes each)
+MOST_SENT = 100_000
+
+
 def apply_scale(entries: DataFrame, ids: DataFrame, scale: DataFrame, lower: float = -1.0, upper: float = 1.0) -> DataFrame:
     """(id, idx, value): entries, and the zeros of absent ones, mapped to [lower, upper] by each feature's range.
 
-    Constant and unknown features are dropped, and so are zeros of the result. Nothing is clamped.
+    Constant and unknown features are dropped, and so are zeros of the result. Nothing is clamped. Entries meet
+    their feature's range by a join; only features that map zero elsewhere, whose result has an entry in
+    every row, are paired with all rows.
     """
-    scale = scale.where("high > low")
-    dense = ids.select("id").join(F.broadcast(scale))  # one row a feature
-    value = F.coalesce("value", F.lit(0.0))
-    scaled = F.when(value == F.col("low"), F.lit(lower)).when(value == F.col("high"), F.lit(upper)).otherwise(lower + (upper - lower) * (value - F.col("low")) / (F.col("high") - F.col("low")))
-    return dense.join(entries.select("id", "idx", "value"), ["id", "idx"], "left").select("id", "idx", scaled.alias("value")).where("value <> 0")
+    scale = cut(scale.where("high > low"))
+    to = lambda v: F.when(v == F.col("low"), F.lit(lower)).when(v == F.col("high"), F.lit(upper)).otherwise(lower + (upper - lower) * (v - F.col("low")) / (F.col("high") - F.col("low")))
+    present = entries.select("id", "idx", "value").join(scale, "idx").select("id", "idx", to(F.col("value")).alias("value"))
+    zero = scale.select("idx", to(F.lit(0.0)).alias("value")).where("value <> 0")
+    absent = ids.select("id").crossJoin(F.broadcast(zero) if zero.count() <= MOST_SENT else zero)
+    absent = absent.join(entries.select("id", "idx"), ["id", "idx"], "left_anti")
+    return present.unionByName(absent).where("value <> 0")
 
 
 def explain(entries: DataFrame, weights: DataFrame, sign: float = 1.0) -> DataFrame:
@@ -52,6 +64,11 @@ def explain(entries: DataFrame, weights: DataFrame, sign: float = 1.0) -> DataFr
     return part.withColumn("share", F.col("weight") / total)
 
 
+def by_weight(explained: DataFrame) -> DataFrame:
+    """``explained`` with ``place``: each row's features by falling signed weight, equal ones by idx, from 1."""
+    return explained.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "idx")))
+
+
 def confidence(explained: DataFrame) -> DataFrame:
     """(id, total, absolute, confidence): 50 plus the share of the sum in the absolute sum in whole percent, 100 at most."""
     out = explained.groupBy("id").agg(F.sum("weight").alias("total"), F.sum(F.abs("weight")).alias("absolute"))
@@ -86,6 +103,53 @@ def train_linear(rows: DataFrame, features: str = "features", c: float = 100.0):
     return LinearSVC(featuresCol=features, labelCol="label", regParam=1.0 / (c * max(1, rows.count())), maxIter=50).fit(rows)
 
 
+def train_probabilities(rows: DataFrame, features: str = "features", c: float = 100.0):
+    """A linear model with class probabilities (logistic regression); ``rows`` has label (0, 1, ...) and a vector column."""
+    return LogisticRegression(featuresCol=features, labelCol="label", regParam=1.0 / (c * max(1, rows.count())), maxIter=50).fit(rows)
+
+
+def probabilities(model, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``prediction`` and ``probabilities``, an array with one entry a class."""
+    if not isinstance(model, ProbabilisticClassificationModel):
+        raise ValueError("the model has no probabilities")
+    return model.transform(rows).withColumn("probabilities", vector_to_array(model.getProbabilityCol())).drop(model.getProbabilityCol(), model.getRawPredictionCol())
+
+
+def accessors(model) -> dict:
+    """What a model holds: number of classes and features, labels, weights, intercept and parameters."""
+    return {
+        "n_classes": model.numClasses, "labels": [float(i) for i in range(model.numClasses)], "n_features": model.numFeatures,
+        "weights": model.coefficients.toArray().tolist(), "intercept": model.intercept, "parameters": {p.name: v for p, v in model.extractParamMap().items()},
+    }
+
+
+def weight_table(model, spark: SparkSession) -> DataFrame:
+    """(idx, coefficient) of a two-class model, indexes from 1, as ``explain`` wants them; bounded by the features."""
+    return spark.createDataFrame([(i + 1, float(w)) for i, w in enumerate(model.coefficients.toArray())], "idx int, coefficient double")
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    """A saved model of either kind."""
+    kind = DefaultParamsReader.loadMetadata(path, SparkSession.getActiveSession())["class"].rsplit(".", 1)[-1]
+    kinds = {"LinearSVCModel": LinearSVCModel, "LogisticRegressionModel": LogisticRegressionModel}
+    if kind not in kinds:
+        raise ValueError(f"{path} holds a {kind}")
+    return kinds[kind].load(path)
+
+
+def save_table(table: DataFrame, path: str) -> None:
+    """A feature dictionary or scale, in place of what was there."""
+    table.write.mode("overwrite").parquet(path)
+
+
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def vectors(df: DataFrame, array: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(array).cast("array<double>")))
 

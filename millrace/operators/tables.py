@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.strings import center_tab, left_tab, right_tab
+from millrace.plans.lineage import cut
 from millrace.plans.textfilter import matches
 
 
@@ -90,25 +91,21 @@ def text_table(df: DataFrame, layout: list[tuple[str, str, int]]) -> tuple[str,
     return " | ".join(heads) + "\n" + rule + "\n", F.concat_ws(" | ", *cells)
 
 
-def tree_filter(nodes: DataFrame, matching: Column, max_depth: int = 32) -> DataFrame:
+def tree_filter(nodes: DataFrame, matching: Column) -> DataFrame:
     """Nodes (id, parent_id, ...) that match, lie below one that matches or above one; roots always stay.
 
-    Climbs and descends level by level from the matches; each level is a join on ids.
+    Climbs and descends from the matches at once, a level a round, until no node is new; each round is a join on
+    ids and its result is written, so no round repeats the ones before. Nodes in a circle are reached once.
     """
-    base = nodes.select("id", "parent_id")
-    hit = nodes.where(matching).select("id")
-    keep = hit
-    level = hit
-    for _ in range(max_depth):
-        level = base.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
+    base = cut(nodes.select("id", "parent_id"))
+    hit = nodes.where(matching).select("id").distinct()
+    level = seen = cut(hit.select("id", F.explode(F.array(F.lit(True), F.lit(False))).alias("up")))
+    while True:
+        below = base.join(level.where("not up").select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", F.lit(False).alias("up"))
+        above = base.where("parent_id is not null").join(level.where("up").select("id"), "id", "left_semi").select(F.col("parent_id").alias("id"), F.lit(True).alias("up"))
+        level = cut(below.unionByName(above).distinct().join(seen, ["id", "up"], "left_anti"))
         if level.isEmpty():
             break
-        keep = keep.unionByName(level)
-    level = hit
-    for _ in range(max_depth):
-        level = base.join(level, "id", "left_semi").where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
-        if level.isEmpty():
-            break
-        keep = keep.unionByName(level)
-    keep = keep.unionByName(base.where("parent_id is null").select("id")).distinct()
+        seen = cut(seen.unionByName(level))
+    keep = seen.select("id").unionByName(base.where("parent_id is null").select("id")).distinct()
     return nodes.join(keep, "id", "left_semi")

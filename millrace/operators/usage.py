@@ -13,36 +13,42 @@ def bucket(ts: Column, resolution_ms: int = 60_000) -> Column:
     return (F.unix_millis(ts.cast("timestamp")) / resolution_ms).cast("bigint") * resolution_ms
 
 
-def index_percentile(value: Column, share: str) -> Column:
-    """The element at floor(n * share), counted from zero, of the values in ascending order."""
-    return F.element_at(F.sort_array(F.collect_list(value)), (F.floor(F.count(value) * F.expr(share + "D"))).cast("int") + 1)
+def index_percentile(value: str, share: float) -> Column:
+    """The element at floor(n * share), counted from zero, of the values (SQL text) in ascending order.
+
+    Counted from the other end that is the discrete percentile of 1 - share, which keeps a count for each
+    different value, never the values themselves. Exact for values up to 2**53.
+    """
+    rest = f"{1 - share - 1e-12:.15f}D"  # a hair less, so that a product just above a whole number counts as that
+    return F.expr(f"percentile_disc({rest}) within group (order by cast({value} as bigint) desc)").cast("bigint")
 
 
-def aggregate(value: Column, how: str) -> Column:
-    """Sums are 64 bit; a maximum is never below zero, since cells start there."""
+def aggregate(value: str, how: str) -> Column:
+    """An aggregation of ``value`` (a column or SQL text). Sums are 64 bit; a maximum is never below zero, since cells start there."""
+    whole = F.expr(f"cast({value} as bigint)")
     if how == "Sum":
-        return F.sum(value.cast("bigint"))
+        return F.sum(whole)
     if how == "Max":
-        return F.greatest(F.lit(0).cast("bigint"), F.max(value.cast("bigint")))
+        return F.greatest(F.lit(0).cast("bigint"), F.max(whole))
     if how == "Percentile90":
-        return index_percentile(value.cast("bigint"), "0.9")
+        return index_percentile(value, 0.9)
     if how == "Percentile99":
-        return index_percentile(value.cast("bigint"), "0.99")
+        return index_percentile(value, 0.99)
     raise ValueError(f"unknown aggregation {how!r}; one of {AGGREGATIONS}")
 
 
-def bucket_stats(samples: DataFrame) -> DataFrame:
-    """All four aggregations of (bucket, metric, value).
+def bucket_stats(samples: DataFrame, by: tuple[str, ...] = ("bucket", "metric")) -> DataFrame:
+    """All four aggregations of (bucket, metric, value), and ``n``, the number of samples; ``by`` may name more columns.
 
     Samples are counted by value before anything is gathered, so a bucket costs its different values, not its
     samples, and percentiles are read off running counts.
     """
-    counts = samples.where("value is not null").groupBy("bucket", "metric", F.col("value").cast("bigint").alias("value")).agg(F.count("*").alias("c"))
-    group = Window.partitionBy("bucket", "metric")
+    counts = samples.where("value is not null").groupBy(*by, F.col("value").cast("bigint").alias("value")).agg(F.count("*").alias("c"))
+    group = Window.partitionBy(*by)
     placed = counts.withColumn("upto", F.sum("c").over(group.orderBy("value"))).withColumn("n", F.sum("c").over(group))
     at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.expr(share + "D")), F.col("value")))
-    return placed.groupBy("bucket", "metric").agg(
-        F.sum(F.col("value") * F.col("c")).alias("sum_value"), F.greatest(F.lit(0).cast("bigint"), F.max("value")).alias("max_value"), at("0.9").alias("p90_value"), at("0.99").alias("p99_value")
+    return placed.groupBy(*by).agg(
+        F.sum(F.col("value") * F.col("c")).alias("sum_value"), F.greatest(F.lit(0).cast("bigint"), F.max("value")).alias("max_value"), at("0.9").alias("p90_value"), at("0.99").alias("p99_value"), F.sum("c").alias("n")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import explorer as X
 from millrace.plans.textfilter import matches
 from millrace.registry import query, table
+from millrace.sources import records as R
 
 _L, _R = "(^|[^\\p{L}\\p{Nd}])", "($|[^\\p{L}\\p{Nd}])"
 
@@ -68,18 +69,18 @@ def lookup_keys(spark, sf_dir):
     return X.lookup_keys(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").where("c_nationkey = 3").select("c_custkey")).select("o_orderkey", "o_custkey")
 
 
-def _ranked(df, key, ascending, ignore_case=False):
-    """The order of ``sort_by`` made visible as ranks within a status."""
-    by = F.lower(key) if ignore_case else F.col(key)
-    return F.dense_rank().over(Window.partitionBy("part").orderBy(by.asc_nulls_first() if ascending else by.desc_nulls_last())).cast("bigint")
+def _places(ordered, key):
+    """Where the rows of a sorted table stand; equal keys share the first place among them."""
+    at = R.positions(ordered)
+    return at.withColumn("nth", F.min("row_id").over(Window.partitionBy(key)))
 
 
 def _sort(name, ascending):
-    sql = f"SELECT o_orderkey, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY nullif(o_custkey, 7) {'ASC NULLS FIRST' if ascending else 'DESC NULLS LAST'}) AS nth FROM orders"
+    sql = f"SELECT o_orderkey, rank() OVER (ORDER BY nullif(o_custkey, 7) {'ASC NULLS FIRST' if ascending else 'DESC NULLS LAST'}) - 1 AS nth FROM orders"
 
     def run(spark, sf_dir):
-        o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("part"), F.expr("nullif(o_custkey, 7L)").alias("k"))
-        return X.sort_by(o, "k", ascending).select("o_orderkey", _ranked(o, "k", ascending).alias("nth"))
+        o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_custkey, 7L)").alias("k"))
+        return _places(X.sort_by(o, "k", ascending), "k").select("o_orderkey", "nth")
 
     run.__name__ = name
     query(sql)(run)
@@ -89,21 +90,34 @@ _sort("sort_nulls_small_asc", True)
 _sort("sort_nulls_small_desc", False)
 
 
-@query("SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY lower(p_name)) AS nth FROM part")
+@query("SELECT p_partkey, rank() OVER (ORDER BY lower(p_name)) - 1 AS nth FROM part")
 def sort_ignore_case(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("part"), "p_name")
-    return X.sort_by(p, "p_name", ignore_case=True).select("p_partkey", _ranked(p, "p_name", True, True).alias("nth"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return _places(X.sort_by(p, "p_name", ignore_case=True), F.lower("p_name")).select("p_partkey", "nth")
 
 
-@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, lower(p_name), p_partkey) AS nth FROM part")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, lower(p_name), p_partkey) - 1 AS nth FROM part")
 def sort_weight_then_text(spark, sf_dir):
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_size"), F.lower("p_name"), "p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(w).cast("bigint").alias("nth"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
+    return R.positions(X.sort_keys(p, ("p_size", False, False), ("p_name", True, True), ("p_partkey", True, False))).select("p_partkey", F.col("row_id").alias("nth"))
 
 
-@query("SELECT count(*) AS n_rows, CASE WHEN count(*) * 88 > 536870912 THEN (count(*) * 88 // 1073741824) || ' GB' WHEN count(*) * 88 > 524288 THEN (count(*) * 88 // 1048576) || ' MB' WHEN count(*) * 88 > 512 THEN (count(*) * 88 // 1024) || ' kB' ELSE count(*) * 88 || ' B' END AS size FROM lineitem")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders")
+def record_positions(spark, sf_dir):
+    return R.with_row_id(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row_id FROM customer")
+def record_positions_by_key(spark, sf_dir):
+    return R.with_row_id(R.open_table(spark, f"{sf_dir}/customer.parquet").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey").select("c_custkey", "row_id")
+
+
+_CELLS = "sum(strlen(c_custkey || chr(9) || c_name || chr(9) || c_nationkey || chr(9) || c_mktsegment) + 1)::BIGINT"
+
+
+@query(f"SELECT n AS n_rows, CASE WHEN b > 536870912 THEN (b // 1073741824) || ' GB' WHEN b > 524288 THEN (b // 1048576) || ' MB' WHEN b > 512 THEN (b // 1024) || ' kB' ELSE b || ' B' END AS size FROM (SELECT count(*) AS n, {_CELLS} AS b FROM customer)")
 def dump_stats(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n_rows")).select("n_rows", X.size_text(F.col("n_rows") * 88).alias("size"))
+    return X.dump_stats(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN 'renamed' ELSE n_name END AS n_name, n_regionkey FROM nation")

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import usage as U
+from millrace.plans.lineage import scratch
 from millrace.registry import query, table
+from millrace.sources import records as R
+from millrace.sources import stats as D
 
 DAY = 86_400_000
 _E = f"(SELECT ((epoch_us(ts) // 1000) // {DAY}) * {DAY} AS bucket, event_type AS metric, CAST(floor(value) AS BIGINT) AS value, user_id, event_id, ts FROM events)"
@@ -20,7 +23,12 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT bucket, metric, sum(value)::BIGINT AS sum_value, greatest(0, max(value)) AS max_value, {_P90} AS p90_value, {_P99} AS p99_value FROM {_E} GROUP BY 1, 2")
 def usage_bucket_stats(spark, sf_dir):
-    return U.bucket_stats(_samples(spark, sf_dir))
+    return U.bucket_stats(_samples(spark, sf_dir)).drop("n")
+
+
+@query(f"SELECT metric, {_P90} AS p90_value, {_P99} AS p99_value FROM {_E} GROUP BY 1")
+def usage_percentile_columns(spark, sf_dir):
+    return _samples(spark, sf_dir).groupBy("metric").agg(U.aggregate("value", "Percentile90").alias("p90_value"), U.aggregate("value", "Percentile99").alias("p99_value"))
 
 
 @query("SELECT ((epoch_us(ts) // 1000) // 60000) * 60000 AS bucket, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -30,6 +38,8 @@ def usage_minute_buckets(spark, sf_dir):
 
 def _shards(spark, sf_dir, how, agg, n=2):
     s = _samples(spark, sf_dir).withColumn("shard", (F.col("user_id") % n).cast("int"))
+    if agg is None:
+        return U.bucket_stats(s, ("shard", "bucket", "metric")).withColumnRenamed("p90_value", "value").withColumn("how", F.lit(how))
     return s.groupBy("shard", "bucket", "metric").agg(agg.alias("value"), F.count("*").alias("n")).withColumn("how", F.lit(how))
 
 
@@ -51,12 +61,12 @@ def usage_merge_compat(spark, sf_dir):
 
 @query(f"SELECT bucket, metric, CAST(floor(sum(p * n) / sum(n) + 0.5) AS BIGINT) AS value FROM (SELECT bucket, metric, user_id % 2 AS shard, CAST({_P90} AS DOUBLE) AS p, count(*) AS n FROM {_E} GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def usage_merge_weighted_p90(spark, sf_dir):
-    return U.merge_shards(_shards(spark, sf_dir, "Percentile90", U.aggregate(F.col("value"), "Percentile90")).withColumn("weight", F.col("n").cast("double")))
+    return U.merge_shards(_shards(spark, sf_dir, "Percentile90", None).withColumn("weight", F.col("n").cast("double")))
 
 
 @query(f"SELECT bucket, metric, list_reduce(list(p ORDER BY shard), lambda a, b: CAST(floor((a + b) / 2.0 + 0.5) AS BIGINT)) AS value FROM (SELECT bucket, metric, user_id % 3 AS shard, {_P90} AS p FROM {_E} GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def usage_merge_unweighted_p90(spark, sf_dir):
-    return U.merge_shards(_shards(spark, sf_dir, "Percentile90", U.aggregate(F.col("value"), "Percentile90"), 3))
+    return U.merge_shards(_shards(spark, sf_dir, "Percentile90", None, 3))
 
 
 @query(f"SELECT bucket, CAST(floor(sum(value) / count(value) + 0.5) AS BIGINT) AS ratio FROM {_E} GROUP BY 1")
@@ -122,7 +132,14 @@ def usage_zero_pad(spark, sf_dir):
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, dense_rank() OVER (ORDER BY strftime(ts, '%Y-%m-%d') DESC) AS nth FROM events GROUP BY 1")
 def usage_stat_days(spark, sf_dir):
-    from pyspark.sql import Window
+    path = scratch(spark, "stats")
+    D.append_stats(_records(spark, sf_dir), path)
+    return R.positions(D.stat_days(spark, path)).select("day", (F.col("row_id") + 1).alias("nth"))
+
 
-    days = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
-    return days.withColumn("nth", F.dense_rank().over(Window.orderBy(F.desc("day"))).cast("bigint"))
+@query("SELECT epoch_us(ts) // 1000 AS t, event_id AS first FROM events WHERE strftime(ts, '%Y-%m-%d') = '2024-01-05' AND event_type <> 'signup'")
+def usage_stat_day(spark, sf_dir):
+    path = scratch(spark, "stats")
+    D.append_stats(_records(spark, sf_dir), path)
+    D.append_startup_marker(spark, path, 1_704_412_800_000)
+    return U.split_markers(D.read_stats(spark, path, "2024-01-05"))[0].select("t", F.col("data")[0].alias("first"))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from millrace.functions import markup as M
 from millrace.operators import crawl as C
 from millrace.operators import proxies as P
 from millrace.operators import svm as S
+from millrace.plans.lineage import scratch
 from millrace.registry import ORACLES, query, table
+from millrace.sources import records as R
 from millrace.sources import texts as L
+from millrace.streaming import usage as U
+
+import millrace.queries_metrics  # noqa: F401,E402  registers the batch form of the stream
+
+_STATS_SQL = ORACLES["usage_bucket_stats"]
 
 _HREFS = "regexp_extract_all(replace(html, chr(10), ''), '(?i)<a .*?href=\"(.*?)\"[^>]*?(?:>|/>)', 1)"
 
@@ -68,9 +73,10 @@ def page_to_rows(spark, sf_dir):
     return rows.select("page_id", F.col("m")["title"].alias("title"))
 
 
-@query("SELECT page_id, true AS same FROM pages")
+@query("SELECT page_id, '1F8B' AS magic, md5(html) AS digest FROM pages")
 def page_gzip(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", (M.gunzip_page(M.gzip_page("html")) == F.col("html")).alias("same"))
+    packed = _pages(spark, sf_dir).select("page_id", M.gzip_page("html").alias("z"))
+    return packed.select("page_id", F.hex(F.substring("z", 1, 2)).alias("magic"), F.md5(M.gunzip_page("z").cast("binary")).alias("digest"))
 
 
 @query("SELECT page_id, md5(html) AS digest FROM pages")
@@ -91,24 +97,46 @@ def xpath_texts(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", M.xpath_text(xml, "/r/a/text()").alias("texts"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<[^>]*>|[A-Za-z]+')) AS n FROM pages")
+@query("SELECT page_id, len(regexp_extract_all(html, '<[^>]*>|[A-Za-z]+')) AS n, md5(array_to_string(regexp_extract_all(html, '<[^>]*>|[A-Za-z]+'), chr(1))) AS texts, len(list_filter(regexp_extract_all(html, '<[^>]*>|[A-Za-z]+'), lambda x: starts_with(x, '<'))) AS tags FROM pages")
 def first_matches(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.size(M.first_matches(F.col("html"), {"tag": "<[^>]*>", "word": "[A-Za-z]+"})).cast("bigint").alias("n"))
+    found = _pages(spark, sf_dir).select("page_id", M.first_matches(F.col("html"), {"tag": "<[^>]*>", "word": "[A-Za-z]+"}).alias("m"))
+    tags = F.size(F.filter("m", lambda x: x["kind"] == "tag"))
+    return found.select("page_id", F.size("m").cast("bigint").alias("n"), F.md5(F.array_join(F.col("m")["text"], "\x01").cast("binary")).alias("texts"), tags.cast("bigint").alias("tags"))
 
 
-# a graph over customers: each links to twice its number and to the next; every seventh is closed
-_GRAPH = "SELECT c_custkey AS i, unnest([c_custkey * 2, c_custkey + 1]) AS j FROM customer"
+# a graph over customers: each links to twice its number and to the next one; numbers that end in 7 are closed
+_GRAPH = "SELECT c_custkey AS i, unnest([c_custkey * 2, c_custkey * 2 + 1]) AS j FROM customer"
 
 
-@query(f"""WITH RECURSIVE g AS ({_GRAPH}), walk(i, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT g.j, depth + 1 FROM walk JOIN g USING (i) WHERE g.j % 7 <> 0 AND depth < 6)
+@query(f"""WITH RECURSIVE g AS ({_GRAPH}), walk(i, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT g.j, depth + 1 FROM walk JOIN g USING (i) WHERE g.j % 10 <> 7)
 SELECT '/p/' || i AS path, min(depth) AS depth FROM walk GROUP BY 1""")
 def crawl_levels(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    html = F.format_string('<html><a href="%d">double</a>\n<A class=x href="../p/./%d#">next</A></html>', F.col("c_custkey") * 2, F.col("c_custkey") + 1)
-    pages = c.select(F.lit("h").alias("host"), F.concat(F.lit("/p/"), "c_custkey").alias("path"), F.regexp_replace(html, "#", "").alias("html"))
+    html = F.format_string('<html><a href="%d">double</a>\n<A class=x href="../p/./%d">next</A><a href="1">top</a></html>', F.col("c_custkey") * 2, F.col("c_custkey") * 2 + 1)
+    pages = c.select(F.lit("h").alias("host"), F.concat(F.lit("/p/"), "c_custkey").alias("path"), html.alias("html"))
     seeds = spark.createDataFrame([("h", "/p/1")], "host string, path string")
-    closed = ["/p/" + str(7 * k) for k in range(1, 60)]
-    return C.crawl(pages, seeds, ["/p/[0-9]+"], closed, max_depth=6).select("path", "depth")
+    return C.crawl(pages, seeds, ["/p/[0-9]+"], ["/p/[0-9]*7"]).select("path", "depth")
+
+
+# each event is a request for one of 50 items; an item's requests are numbered as they come
+_ASKED = "(SELECT event_id % 50 AS item, row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) AS attempt, CASE event_type WHEN 'click' THEN 200 WHEN 'view' THEN 404 ELSE 503 END AS status, user_id % 2 = 0 AS sane FROM events)"
+
+
+@query(f"""SELECT '/' || item AS path, CASE WHEN won IS NOT NULL THEN 'ok' WHEN n < 3 THEN 'retry' ELSE 'failed' END AS state, coalesce(won, n) AS attempts, CASE WHEN won IS NULL AND last <> 404 AND last <> 200 THEN last END AS error_status
+FROM (SELECT item, min(attempt) FILTER (status IN (200, 404) AND sane) AS won, count(*) AS n, max_by(status, attempt) AS last FROM {_ASKED} WHERE attempt <= 3 GROUP BY 1)""")
+def crawl_outcomes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("item", F.col("event_id") % 50)
+    status = F.expr("case event_type when 'click' then 200 when 'view' then 404 else 503 end")
+    asked = R.with_row_id(e, "item", "event_id").select(F.lit("h").alias("host"), F.concat(F.lit("/"), "item").alias("path"), (F.col("row_id") + 1).alias("attempt"), status.alias("status"), F.when(F.col("user_id") % 2 == 0, F.lit("<html>")).otherwise(F.lit("blocked")).alias("html"))
+    return C.outcomes(asked, sane=["<html"], max_retries=3).select("path", "state", "attempts", "error_status")
+
+
+@query("SELECT page_id, url AS deeplink, '2' AS depth, md5(html) AS page, page_id::VARCHAR AS own FROM pages")
+def page_result_rows(spark, sf_dir):
+    rows = _pages(spark, sf_dir).withColumn("values", F.create_map(F.lit("own"), F.col("page_id").cast("string"), F.lit("deeplink"), F.lit("old"))).withColumn("depth", F.lit(2))
+    v = F.col("values")
+    out = C.result_rows(rows.withColumn("host", F.regexp_extract("url", "^(https?://[^/]+)", 1)))
+    return out.select("page_id", v["deeplink"].alias("deeplink"), v["crawlItem.depth"].alias("depth"), F.md5(v["originalPage"].cast("binary")).alias("page"), v["own"].alias("own"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN n_name ELSE 'own' END AS name, 'kept' AS other FROM nation")
@@ -232,21 +260,84 @@ def svm_linear_cv(spark, sf_dir):
     return S.correct(S.cross_validate(rows, "vec_id", folds=3)[0])
 
 
-def _stream(spark, sf_dir):
-    from millrace.streaming import usage as R
+@query(f"SELECT id, idx, row_number() OVER (PARTITION BY id ORDER BY {_W} * value DESC, idx) AS place FROM {_ENTRIES}")
+def svm_explain_sorted(spark, sf_dir):
+    w = spark.range(1, 65).select(F.col("id").cast("int").alias("idx"), (((F.col("id") * 37) % 11 - 5) / 10).alias("coefficient"))
+    return S.by_weight(S.explain(_entries(spark, sf_dir), w)).select("id", "idx", F.col("place").cast("bigint").alias("place"))
+
+
+@query(f"SELECT idx, round(low, 6) AS low, round(high, 6) AS high FROM {_RANGE}")
+def svm_scale_saved(spark, sf_dir):
+    path = scratch(spark, "scale")
+    S.save_table(table(spark, sf_dir, "nation"), path)  # what was there goes
+    S.save_table(S.fit_scale(_entries(spark, sf_dir), table(spark, sf_dir, "embeddings").count()), path)
+    return S.load_table(spark, path).select("idx", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("SELECT event_type AS feature, row_number() OVER (ORDER BY min(event_id), event_type) AS idx FROM events GROUP BY 1")
+def svm_features_saved(spark, sf_dir):
+    path = scratch(spark, "features")
+    S.save_table(svm_features(spark, sf_dir), path)
+    return S.load_table(spark, path)
+
+
+def _separable(spark, sf_dir):
+    """Rows whose class is the sign of their first component, without those near the border."""
+    e = table(spark, sf_dir, "embeddings").where("abs(embedding[0]) > 0.05")
+    return S.vectors(e.withColumn("label", (F.col("embedding")[0] > 0).cast("double")), "embedding").select("vec_id", "label", "features")
+
+
+@query("SELECT vec_id, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END::DOUBLE AS prediction, true AS sure, 2 AS n FROM embeddings WHERE abs(embedding[1]) > 0.05")
+def svm_probabilities(spark, sf_dir):
+    rows, path = _separable(spark, sf_dir), scratch(spark, "model")
+    S.save_model(S.train_probabilities(rows), path)
+    p = F.col("probabilities")
+    return S.probabilities(S.load_model(path), rows).select("vec_id", "prediction", ((p[F.col("prediction").cast("int")] > 0.5) & (F.abs(p[0] + p[1] - 1) < 1e-9)).alias("sure"), F.size(p).alias("n"))
+
+
+@query("SELECT vec_id, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END::DOUBLE AS prediction, 64 AS n_features FROM embeddings WHERE abs(embedding[1]) > 0.05")
+def svm_linear(spark, sf_dir):
+    rows, path = _separable(spark, sf_dir), scratch(spark, "model")
+    S.save_model(S.train_linear(rows), path)
+    model = S.load_model(path)
+    return model.transform(rows).select("vec_id", "prediction", F.lit(S.accessors(model)["n_features"]).alias("n_features"))
+
 
-    pick = lambda df: df.select("ts", F.col("event_type").alias("metric"), F.floor("value").cast("bigint").alias("value"))
+def _samples(df):
+    return df.select("ts", F.col("event_type").alias("metric"), F.floor("value").cast("bigint").alias("value"))
+
+
+def _stream(spark, sf_dir):
     batch = table(spark, sf_dir, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
-    work = f"{base.rstrip('/')}/millrace/stream-{uuid.uuid4().hex}"
-    R.run_to_files(pick(spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)), f"{work}/out", f"{work}/state", "1 day", "1 day")
-    return R, work, pick(batch)
+    work = scratch(spark, "stream")
+    U.run_to_files(_samples(spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)), f"{work}/out", f"{work}/state", "1 day", "1 day")
+    return work, _samples(batch)
 
 
 @query()
 def stream_bucket_stats(spark, sf_dir):
-    R, work, batch = _stream(spark, sf_dir)
-    return R.flushed(spark, f"{work}/out", batch, "1 day")
+    work, batch = _stream(spark, sf_dir)
+    return U.flushed(spark, f"{work}/out", batch, "1 day")
+
+
+ORACLES["stream_bucket_stats"] = _STATS_SQL
+#: days that end at least the lateness before the newest event
+_CLOSED = f"SELECT * FROM ({_STATS_SQL}) WHERE bucket + 86400000 <= (SELECT max(epoch_us(ts)) // 1000 - 86400000 FROM events)"
+
+
+@query(_CLOSED)
+def stream_closed(spark, sf_dir):
+    """What the stream alone has written."""
+    return U.closed(spark, f"{_stream(spark, sf_dir)[0]}/out")
 
 
-ORACLES["stream_bucket_stats"] = ORACLES["usage_bucket_stats"]
+@query(_CLOSED)
+def stream_late_rows(spark, sf_dir):
+    """Rows of long closed days that come in a later batch, after a restart, change nothing."""
+    batch, work = table(spark, sf_dir, "events"), scratch(spark, "late")
+    run = lambda: U.run_to_files(_samples(spark.readStream.schema(batch.schema).parquet(f"{work}/in")), f"{work}/out", f"{work}/state", "1 day", "1 day")
+    batch.write.parquet(f"{work}/in")
+    run()
+    batch.where("ts < timestamp_ntz'2024-01-04'").write.mode("append").parquet(f"{work}/in")
+    run()
+    return U.closed(spark, f"{work}/out")

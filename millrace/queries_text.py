@@ -8,6 +8,8 @@ from millrace.functions import strings as S
 from millrace.functions import timing as T
 from millrace.operators import tables as V
 from millrace.registry import query, table
+from millrace.sources import records as R
+from millrace.sources import stats as D
 
 
 def _part(spark, sf_dir):
@@ -58,7 +60,23 @@ def str_indent(spark, sf_dir):
 
 @query("SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part")
 def str_levenshtein(spark, sf_dir):
-    return _part(spark, sf_dir).select("p_partkey", F.levenshtein("p_name", "p_type").cast("bigint").alias("distance"))
+    return _part(spark, sf_dir).select("p_partkey", S.levenshtein(F.col("p_name"), F.col("p_type")).cast("bigint").alias("distance"))
+
+
+@query("SELECT p_partkey, CASE WHEN levenshtein(p_name, p_type) > 14 THEN 2147483647 ELSE levenshtein(p_name, p_type) END AS distance FROM part")
+def str_levenshtein_bound(spark, sf_dir):
+    return _part(spark, sf_dir).select("p_partkey", S.levenshtein(F.col("p_name"), F.col("p_type"), 14).cast("bigint").alias("distance"))
+
+
+@query("SELECT p_partkey, replace(p_type, 'STEEL', 'tin') AS other, replace(p_type, 'E', chr(0)) AS zero, coalesce(nullif(p_brand, 'Brand#11'), '') AS brand, coalesce(nullif(p_brand, 'Brand#11'), '-') AS dash FROM part")
+def str_replace_one(spark, sf_dir):
+    t, b = F.col("p_type"), F.expr("nullif(p_brand, 'Brand#11')")
+    return _part(spark, sf_dir).select("p_partkey", S.replace_one(t, "STEEL", "tin").alias("other"), S.replace_one(t, "E", None).alias("zero"), S.not_null(b).alias("brand"), S.not_null(b, "-").alias("dash"))
+
+
+@query("SELECT p_partkey, p_partkey % 256 BETWEEN 32 AND 126 AS printable FROM part")
+def str_printable(spark, sf_dir):
+    return _part(spark, sf_dir).select("p_partkey", S.is_printable(F.col("p_partkey") % 256).alias("printable"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_name END AS trimmed FROM part")
@@ -100,7 +118,7 @@ def str_search_hits(spark, sf_dir):
 
 @query("SELECT p_partkey, p_name AS text, coalesce(nullif(p_brand, 'Brand#11'), '-') AS brand FROM part")
 def str_latin1(spark, sf_dir):
-    return _part(spark, sf_dir).select("p_partkey", S.latin1(F.encode("p_name", "ISO-8859-1")).alias("text"), F.coalesce(F.expr("nullif(p_brand, 'Brand#11')"), F.lit("-")).alias("brand"))
+    return _part(spark, sf_dir).select("p_partkey", S.latin1(F.encode("p_name", "ISO-8859-1")).alias("text"), S.not_null(F.expr("nullif(p_brand, 'Brand#11')"), "-").alias("brand"))
 
 
 @query("SELECT n_nationkey, rpad(lower(regexp_replace(hex(left(n_name, 16)), '(..)', '\\1 ', 'g')), 48, ' ') || ' ' || left(n_name, 16) || CASE WHEN length(n_name) >= 16 THEN chr(10) ELSE '' END AS dump FROM nation")
@@ -116,7 +134,13 @@ def time_round(spark, sf_dir):
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, day(ts) AS dom, hour(ts) AS hour FROM events")
 def time_fields(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.dayofmonth("ts").cast("bigint").alias("dom"), F.hour("ts").cast("bigint").alias("hour"))
+    return table(spark, sf_dir, "events").select("event_id", D.day_key(F.unix_millis(F.col("ts").cast("timestamp"))).alias("day"), T.field(F.col("ts"), "day").cast("bigint").alias("dom"), T.field(F.col("ts"), "hour").cast("bigint").alias("hour"))
+
+
+@query("SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-03-31 01:00:00' THEN 3600000 ELSE 7200000 END AS berlin, 19800000 AS kolkata FROM events")
+def time_zone_offset(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", T.zone_offset_ms(F.col("ts"), "Europe/Berlin").alias("berlin"), T.zone_offset_ms(F.col("ts"), "Asia/Kolkata").alias("kolkata"))
 
 
 @query("SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 DAY")
@@ -167,14 +191,10 @@ def search_columns(spark, sf_dir):
     return V.search_columns(table(spark, sf_dir, "customer"), _specs(), "NONE").select("c_custkey")
 
 
-@query("SELECT c_custkey, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY lower(coalesce(nullif(c_mktsegment, 'BUILDING'), 'none'))) AS nth FROM customer WHERE c_nationkey > 3 AND c_acctbal > 0")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY lower(coalesce(nullif(c_mktsegment, 'BUILDING'), 'none')), c_custkey) - 1 AS nth FROM customer WHERE c_nationkey > 3 AND c_acctbal > 0")
 def sort_view(spark, sf_dir):
-    from pyspark.sql import Window
-
     df = V.all_of(table(spark, sf_dir, "customer"), [F.col("c_nationkey") > 3, F.col("c_acctbal") > 0])
-    spec = _specs()[1]
-    w = Window.partitionBy("c_nationkey").orderBy(F.lower(spec.shown()))
-    return V.sort_view(df, spec, F.col("c_custkey")).select("c_custkey", F.dense_rank().over(w).cast("bigint").alias("nth"))
+    return R.positions(V.sort_view(df, _specs()[1], F.col("c_custkey"))).select("c_custkey", F.col("row_id").alias("nth"))
 
 
 @query("SELECT n_nationkey || chr(9) || n_name || chr(9) || coalesce(nullif(n_regionkey, 2)::VARCHAR, '') AS line FROM nation")

@@ -34,7 +34,7 @@ def test_percentiles_take_the_element_at_the_index(spark):
     assert (r.p90_value, r.p99_value, r.sum_value) == (10, 10, 55)
     assert usage.bucket_stats(df.withColumn("value", -F.col("value"))).first().max_value == 0
     with pytest.raises(ValueError):
-        usage.aggregate(F.lit(1), "Median")
+        usage.aggregate("1", "Median")
 
 
 def test_stat_store(spark, tmp_path):
@@ -72,7 +72,8 @@ def test_strings(spark):
     assert one(spark, strings.hex_dump(f("AB\n"))) == "41 42 0a " + " " * 39 + " AB."
     assert one(spark, strings.hex_dump(f("x" * 16))) == "78 " * 16 + " " + "x" * 16 + "\n"
     assert one(spark, strings.indent(f("a\nb"), "> ")) == "> a\n> b"
-    assert one(spark, F.levenshtein(f("abcdef"), f("abc"))) == 3
+    assert one(spark, strings.levenshtein(f("abcdef"), f("abc"))) == 3 and one(spark, strings.levenshtein(f("abcdef"), f("abc"), 2)) == strings.FAR
+    assert one(spark, strings.replace_one(f("aba"), "a", None)) == "\0b\0" and one(spark, strings.not_null(f(None).cast("string"), "x")) == "x"
 
 
 def absolute(spark, link, path="/a/b/page.html?x", compat=False):
@@ -134,7 +135,8 @@ def test_repair(spark, tmp_path):
     (source / "part-00000-bad.parquet").write_bytes(b"PAR1 not a table PAR1")
     assert records.repair(spark, str(source), str(tmp_path / "fixed")).count() == 10
     with pytest.raises(ValueError):
-        records.with_row_id(spark.range(1), "id")
+        records.with_row_id(spark.range(1))
+    assert [r.row_id for r in records.with_row_id(spark.range(50).repartition(7), "id").orderBy("id").collect()] == list(range(50))
     numbered = records.with_row_id(spark.range(6).selectExpr("id % 2 as k", "id"), "k", "id")
     assert sorted((r.k, r.row_id) for r in numbered.collect()) == [(k, i) for k in (0, 1) for i in range(3)]
 
