@@ -1,17 +1,14 @@
 """From documents to token files: five stages, each over all that the one before has kept.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is
-written as Parquet and read again as the next one's docs; so when a stage begins, the intermediate tables of
-the one before are deleted. ``run`` applies them to the documents table.
+written as Parquet and read again as the next one's docs. ``run`` applies them to the documents table and
+deletes a stage's intermediate tables as soon as its result is written.
 ORACLE_SQL is None: the stages train a classifier, hash and tokenize, which SQL cannot express; the tests
 hold ``run`` against a brute-force version instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,50 +21,28 @@ from millrace.llm.toxicity import without_toxic
 from millrace.plans.shipping import ship
 
 ORACLE_SQL = None
-#: folders that the last stage's result still reads, by application; once the next stage runs, that result is written
-_LEFT: dict[str, list[Work]] = {}
-
 
-def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``f`` after the former stage's intermediate tables are deleted; its own are noted for the next one."""
-
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
-        for work in left:
-            work.drop(work.root)
-        left.clear()
-        with recorded(left):
-            return f(spark, docs, sf_dir)
 
-    return run_stage
-
-
-@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the weakly supervised classifier rejects."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of SimHash fingerprints."""
     return one_of_each(docs)
 
 
-@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold an item of the benchmark."""
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw documents so that the sources meet their target weights; a document drawn twice is there twice."""
     return mixed(docs)
 
 
-@_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token files and return what they hold for each document."""
     return tokens_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
@@ -88,5 +63,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = work.keep(stage(spark, docs, sf_dir), name)
+        left: list[Work] = []
+        with recorded(left):
+            out = stage(spark, docs, sf_dir)
+        docs = work.keep(out, name)
+        for other in left:
+            other.drop(other.root)
     return docs
