@@ -29,12 +29,15 @@ def components(edges: DataFrame, work: Work, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
+        past = [work.where["edges"]]
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = work.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = work.keep(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        past += [work.where["low"], work.where["large"]]
         low = work.keep(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = work.keep(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        work.drop(*past, work.where["low"])
         then, seen = seen, _signature(now)
         if then == seen:
             break

@@ -51,12 +51,14 @@ class Work:
         self.root = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self.where: dict[str, str] = {}  # the last folder of each name
+        self._open: list[str] = []
         if _RECORDS:
             _RECORDS[-1].append(self)
 
     def path(self, name: str) -> str:
         self._n += 1
         self.where[name] = f"{self.root}/{self._n:03d}-{name}"
+        self._open.append(self.where[name])
         return self.where[name]
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -70,6 +72,12 @@ class Work:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def prune(self, *names: str) -> None:
+        """Delete all folders so far but the last ones of these names: what is returned reads no others."""
+        kept = {self.where[n] for n in names}
+        self.drop(*(p for p in self._open if p not in kept))
+        self._open = [p for p in self._open if p in kept]
+
     def drop(self, *frames_paths: str) -> None:
         """Delete folders of this call that no later step reads."""
         jvm = self.spark.sparkContext._jvm
