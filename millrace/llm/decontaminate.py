@@ -166,6 +166,7 @@ def _table(rows: DataFrame, size: int, wanted=None, lines: bool = False) -> Data
                 slots = [value[a:b][slot[a:b]].view(np.int64).tolist() if slot[a:b].any() else [] for a, b, slot in zip(at.tolist(), until.tolist(), (flags[k] for k in opened.tolist()))]
                 of = pa.array(owner + i)
                 yield pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns[:-1]), pa.array(hashes.view(np.int64)), pa.array(own.view(np.int64)), pa.array(at), pa.array(slots, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "w", "own", "at", "slots"])
+        K.release()
 
     lead = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, lead + "w bigint, own bigint, at bigint, slots array<bigint>")
@@ -235,4 +236,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, s
     found = _pairs(docs.select(digest.alias("digest"), F.col("text").cast("string").alias("text")), ["digest"], benchmark, size, similarity, MOST_SENT, work)
     gone = fresh(docs, "digest")
     found = work.keep(found.select(F.col("digest").alias(gone)).distinct(), "found")
+    work.prune("found")
     return docs.join(found, digest == F.col(gone), "left_anti")

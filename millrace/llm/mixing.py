@@ -187,7 +187,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, b
     """
     work = Work(docs.sparkSession, "mix")
     slim, blocks = _slim(docs, work, blocks, seed)
-    out = _draws(slim, _placed(slim, work, weights, cap, blocks, levels, seed))
+    placed = _placed(slim, work, weights, cap, blocks, levels, seed)
+    work.prune("slim", "placed")
+    out = _draws(slim, placed)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("bigint").alias("taken"), "draws")
 
 
@@ -200,6 +202,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3,
     work = Work(docs.sparkSession, "mix")
     slim, blocks = _slim(docs, work, blocks, seed)
     placed = _placed(slim, work, weights, cap, blocks, levels, seed)
+    work.prune("placed")
     number, skey = _keys(docs, seed)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(row, number.alias("u"), skey.alias("skey")).withColumn("block", F.pmod("u", F.lit(blocks)).cast("int"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
 from millrace.llm.components import components
-from millrace.llm.storage import Work, shuffle_partitions
+from millrace.llm.storage import Work, fresh, shuffle_partitions
 
 #: fingerprint rows that one prefix should hold at most on average, for choosing the prefix length
 PREFIX_LOAD = 1 << 18
@@ -55,10 +55,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = K.text_bytes(batch.column(0))
-            raw = data.tobytes()
             at = offsets.tolist()
-            out = b"".join(fingerprint(raw[a:b], shingle, seed) for a, b in zip(at, at[1:]))
+            out = b"".join(fingerprint(data[a:b].tobytes(), shingle, seed) for a, b in zip(at, at[1:]))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.frombuffer(out, ">i8").astype(np.int64))], [*names, "fp"])
+        K.release()
 
     names = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.col("text").cast("string").alias("text"), *names)
@@ -193,6 +193,7 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, prefix_bi
     work = Work(docs.sparkSession, "simhash")
     own = work.keep(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), shingle), "fingerprints")
     at = _rooted(own, work, radius, prefix_bits)
+    work.prune("fingerprints", "rooted")
     firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first")).join(at, "fp")
     ids = work.keep(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
     names = work.keep(at.join(ids, "root").select("fp", "component_id"), "names")
@@ -201,21 +202,25 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, prefix_bi
 
 def _rooted(own: DataFrame, work: Work, radius: int, prefix_bits: int | None) -> DataFrame:
     """(fp, root) for every distinct fingerprint of the written table ``own``."""
-    reps = work.keep(own.select("fp").distinct(), "distinct")
-    links = ball_links(reps, reps.count(), radius, prefix_bits, shuffle_partitions(own.sparkSession))
+    parts = shuffle_partitions(own.sparkSession)
+    reps = work.keep(own.select("fp").distinct().repartition(parts), "distinct")  # each task emits as many balls
+    links = ball_links(reps, reps.count(), radius, prefix_bits, parts)
     found = work.keep(components(links, work).select(F.col("node").alias("fp"), "root"), "roots")
     return work.keep(reps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
 def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4, prefix_bits: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns kept: of each group the one with the smallest doc_id.
+    """The rows of ``docs`` that stay, all columns kept, whatever their names: of each group the one with the smallest doc_id.
 
-    Null ids come last; of rows with equal ids the first stays. Groups are those of ``simhash_groups``.
+    Null ids come last; of rows with equal ids, or none, the first stays, so of repeated rows one is left. Null
+    and wordless texts are one group. Groups are those of ``simhash_groups``. An empty table gives an empty result.
     """
     work = Work(docs.sparkSession, "simhash")
-    base = work.keep(docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
-    own = work.keep(fingerprints(base.select("doc_id", "__rid", "text"), shingle), "fingerprints")
+    rid = fresh(docs, "rid")
+    base = work.keep(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
+    own = work.keep(fingerprints(base.select("doc_id", F.col(rid).alias("rid"), "text"), shingle), "fingerprints")
     at = _rooted(own, work, radius, prefix_bits)
-    first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("first"))
-    kept = work.keep(first.join(at, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.__rid"), "kept")
-    return base.join(kept.hint("merge"), "__rid", "left_semi").drop("__rid")  # kept grows with the rows: never broadcast
+    first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
+    kept = work.keep(first.join(at, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias(rid)), "kept")
+    work.prune("rows", "kept")
+    return base.join(kept.hint("merge"), rid, "left_semi").drop(rid)  # kept grows with the rows: never broadcast

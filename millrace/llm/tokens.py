@@ -186,6 +186,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, encod
                     ["part", "doc_id", "local_start", "n_tokens", "ids"],
                 )
                 before += int(at[-1])
+        K.release()
 
     parts = parts or shuffle_partitions(docs.sparkSession)
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
