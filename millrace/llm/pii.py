@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.storage import fresh
+
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -28,8 +30,10 @@ ANY = "|".join(KINDS.values())
 #: what every match holds; texts without it are passed through after one cheap scan
 HINT = r"[0-9]{3}|[0-9][. -][0-9]|@|[0-9a-f]{16}"
 ROUNDS = 8
-#: days from 1800-01-01 on, one full cycle of the calendar: 189 x 773
-FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
+#: dates are permuted within ranges of days, told by the first one, from FIRST_DAY on, and two factors of the number
+#: of days: the calendar's cycle of 400 years from 1800 on, the years after it up to 9999, and those before from 200 and 1 on
+FIRST_DAY = "1800-01-01"
+DAYS = ((0, 189, 773), (146097, 233, 12227), (-584388, 756, 773), (-657071, 13, 5591))
 
 
 def _lit(text: str) -> str:
@@ -73,11 +77,9 @@ def pseudonym(m: str, key: str) -> str:
 
     email = out("email", f"concat('u', substr(sha2(concat_ws('|', {_lit(key)}, 'email', lower({m})), 256), 1, 12), substr({m}, instr({m}, '@')))")
     iso = f"case when {m} like '____-%' then {m} when {m} like '%/%' then concat_ws('-', substr({m}, 7, 4), substr({m}, 1, 2), substr({m}, 4, 2)) else concat_ws('-', substr({m}, 7, 4), substr({m}, 4, 2), substr({m}, 1, 2)) end"
-    day = "date_add(date'" + FIRST_DAY + "', cast(" + feistel("n", DAYS_A, DAYS_B, "'date'", key) + " as int))"
-    date = _let(
-        f"datediff(try_cast({iso} as date), date'{FIRST_DAY}')", "n",
-        f"if(n is null or n < 0 or n >= {DAYS_A * DAYS_B}, {keep}, {out('date', _let(day, 'e', f'''date_format(e, case when {m} like '____-%' then 'yyyy-MM-dd' when {m} like '%/%' then 'MM/dd/yyyy' else 'dd.MM.yyyy' end)'''))})",
-    )
+    ranges = " ".join(f"when n >= {at} and n < {at + a * b} then {at} + {feistel(f'(n - ({at}))', a, b, chr(39) + 'date' + chr(39), key)}" for at, a, b in DAYS)
+    written = f"date_format(date_add(date'{FIRST_DAY}', cast(e as int)), case when {m} like '____-%' then 'yyyy-MM-dd' when {m} like '%/%' then 'MM/dd/yyyy' else 'dd.MM.yyyy' end)"
+    date = _let(f"datediff(try_cast({iso} as date), date'{FIRST_DAY}')", "n", _let(f"case {ranges} end", "e", f"if(e is null, {keep}, {out('date', written)})"))
     area, group, serial = (f"cast(substr({m}, {i}, {n}) as bigint)" for i, n in ((1, 3), (5, 2), (8, 4)))
     index = f"(({area} - 1 - if({area} > 666, 1, 0)) * 99 + {group} - 1) * 9999 + {serial} - 1"
     ssn_text = "concat_ws('-', lpad(cast(y div 989901 + 1 + if(y div 989901 >= 665, 1, 0) as string), 3, '0'), lpad(cast(y div 9999 % 99 + 1 as string), 2, '0'), lpad(cast(y % 9999 + 1 as string), 4, '0'))"
@@ -105,10 +107,11 @@ def pseudonym(m: str, key: str) -> str:
 
 
 def _unlike_valid(key: str) -> str:
-    """Ten digits that are no valid phone number are permuted among such: cycles of the permutation of all ten digits are walked past valid ones."""
-    step = feistel("w", "100000", "100000", "'digits'", key)
-    valid = "(w div 10000000 >= 200 and w div 10000 % 1000 >= 200)"
-    return f"aggregate(sequence(1, 64), named_struct('w', n, 'done', false), (g, z) -> if(g.done, g, {_let('g.w', 'w', _let(step, 'w', f'named_struct({chr(39)}w{chr(39)}, w, {chr(39)}done{chr(39)}, not {valid})'))}), g -> g.w)"
+    """Ten digits ``n`` that are no valid phone number, permuted among such: those of a low area code come first, then those of a low exchange."""
+    area, exchange = "(n div 10000000)", "(n div 10000 % 1000)"
+    place = f"(if({area} < 200, {area} * 1000 + {exchange}, 200000 + ({area} - 200) * 200 + {exchange}) * 10000 + n % 10000)"
+    back = "if(p < 200000, (p div 1000) * 1000 + p % 1000, (200 + (p - 200000) div 200) * 1000 + (p - 200000) % 200)"
+    return _let(feistel(place, "360000", "10000", "'digits'", key), "y", f"{_let('y div 10000', 'p', back)} * 10000 + y % 10000")
 
 
 def _around_cards() -> str:
@@ -126,15 +129,16 @@ def _around_cards() -> str:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``text`` rewritten, plus ``n_<kind>`` counts of what was replaced.
 
-    A null text stays null with counts of 0; ids, repeated rows, order and other columns are kept, but columns
-    of the counts' names are replaced. Matches that fail validation stay as they are. A text is read whole.
+    A null text stays null with counts of 0; ids, repeated rows, order and other columns are kept, whatever their
+    names, but columns of the counts' names are replaced. Matches that fail validation stay as they are. A text is
+    read whole, within a row's memory; an empty table gives an empty result.
     """
-    kinds = list(KINDS)
-    found = docs.withColumn("__any", F.expr(_around_cards()))
-    found = found.withColumn("__pii", F.expr(f"if(text rlike {_lit(HINT)}, regexp_extract_all(text, __any, 0), cast(array() as array<string>))"))
-    found = found.withColumn("__pii", F.expr(f"coalesce(transform(__pii, m -> {pseudonym('m', key)}), array())"))
-    pieces = f"zip_with(split(text, __any, -1), __pii, (a, h) -> concat(a, coalesce(h.value, '')))"
-    out = found.withColumn("text", F.expr(f"if(text is null or size(__pii) = 0, text, array_join({pieces}, ''))"))
-    for k in kinds:
-        out = out.withColumn(f"n_{k}", F.expr(f"size(filter(__pii, h -> h.kind = '{k}'))"))
-    return out.drop("__pii", "__any")
+    each, hits = fresh(docs, "any"), fresh(docs, "pii")
+    found = docs.withColumn(each, F.expr(_around_cards()))
+    found = found.withColumn(hits, F.expr(f"if(text rlike {_lit(HINT)}, regexp_extract_all(text, `{each}`, 0), cast(array() as array<string>))"))
+    found = found.withColumn(hits, F.expr(f"coalesce(transform({hits}, m -> {pseudonym('m', key)}), array())"))
+    pieces = f"zip_with(split(text, `{each}`, -1), {hits}, (a, h) -> concat(a, coalesce(h.value, '')))"
+    out = found.withColumn("text", F.expr(f"if(text is null or size({hits}) = 0, text, array_join({pieces}, ''))"))
+    for k in KINDS:
+        out = out.withColumn(f"n_{k}", F.expr(f"size(filter({hits}, h -> h.kind = '{k}'))"))
+    return out.drop(hits, each)

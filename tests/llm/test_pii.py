@@ -1,11 +1,12 @@
 import datetime
 import hashlib
+import random
 import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from millrace.llm.pii import ROUNDS, feistel, pseudonymise
+from millrace.llm.pii import HINT, KINDS, ROUNDS, feistel, pseudonymise
 
 KEY = "k|'\\x"
 
@@ -57,6 +58,13 @@ def test_formats_links_and_validity(spark):
     y, m, d = a.split("-")
     assert b == f"{m}/{d}/{y}" and c == f"{d}.{m}.{y}"
 
+    ends = ["0001-01-01", "0199-12-31", "0200-01-01", "1799-12-31", "2200-01-01", "9999-12-31"]
+    new = [r.text for r in one(spark, ends)]
+    assert all(datetime.date.fromisoformat(n) for n in new) and len(set(new) - set(ends)) == 6
+    assert [n < "0200" for n in new] == [True, True] + [False] * 4 and [n >= "2200" for n in new] == [False] * 4 + [True] * 2
+    assert all((datetime.date(a + 1, 1, 1) - datetime.date(b, 1, 1)).days == size for a, b, size in ((2199, 1800, 189 * 773), (199, 1, 13 * 5591), (1799, 200, 756 * 773)))
+    assert (datetime.date(9999, 12, 31) - datetime.date(2200, 1, 1)).days + 1 == 233 * 12227
+
     phones = [f"({200 + i % 800}) 555-{1000 + i}" for i in range(300)] + [f"({100 + i % 90}) 555-{1000 + i}" for i in range(300)]
     new = [r.text for r in one(spark, phones)]
     assert len(set(new)) == 600 and all(re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", n) for n in new)
@@ -71,7 +79,7 @@ def test_formats_links_and_validity(spark):
 
 
 def test_what_stays_and_odd_rows(spark):
-    same = ["4785380592391138", "2024-02-30", "0999-01-01", "666-12-1234", "999.1.1.1", "1.2.3", "no data", "", "12345", "deadbeef", "a@b", "1234567890123456789012345"]
+    same = ["4785380592391138", "2024-02-30", "0000-01-01", "666-12-1234", "999.1.1.1", "1.2.3", "no data", "", "12345", "deadbeef", "a@b", "1234567890123456789012345"]
     assert [r.text for r in one(spark, same)] == same
     mail = [r.text for r in one(spark, ["x Bob.A@Mail.example.com", "y bob.a@mail.example.com.", "token=24be64439e3e49cf46b2d7c90f3602a3d0b907ff"])]
     assert mail[0].split("@")[0][2:] == mail[1].split("@")[0][2:] and "ob" not in mail[0].split("@")[0] and "24be6443" not in mail[2] and len(mail[2]) == 46
@@ -92,3 +100,26 @@ def test_cards_beside_other_numbers(spark):
     assert [r.text for r in got[:3]] == [f"{new[0].text} 12/26", f"{new[0].text} 123", f"12 {new[0].text}"]
     assert got[3].text.startswith(f"1234 {new[0].text} ") and got[4].text == f"{new[0].text} {new[0].text}" and got[5].text == f"7 {new[1].text} 1234"
     assert got[6].text.replace(" ", "") == new[0].text.replace(" ", "") + "123" and got[7].text.replace(" ", "") == new[0].text.replace(" ", "")
+
+
+def test_every_match_holds_the_hint():
+    rng = random.Random(12)
+    hint, kinds = re.compile(HINT), {k: re.compile(p) for k, p in KINDS.items()}
+    seen = Counter()
+    for _ in range(60_000):
+        parts = ["".join(rng.choice("0123456789") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 14))]
+        sep = rng.choice([" ", "-", ".", "/", "", " -", "./"])
+        text = rng.choice(["", "+1 ", "(", "a@b.", "x"]) + "".join(p + (rng.choice(sep) if sep else "") for p in parts) + rng.choice(["", ")", "@mail.org", "ab12"])
+        if rng.random() < 0.1:
+            text = "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(10, 70)))
+        for k, p in kinds.items():
+            if p.search(text):
+                seen[k] += 1
+                assert hint.search(text), (k, text)
+    assert len(seen) == len(KINDS) and min(seen.values()) > 5
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([(1, card(5), 7, 8, 9)], "doc_id bigint, text string, any int, pii int, __pii int")
+    got = pseudonymise(df, KEY).first()
+    assert (got["any"], got["pii"], got["__pii"], got.n_card) == (7, 8, 9, 1) and got.text != card(5)
