@@ -50,13 +50,27 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def windows(offsets: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Offsets and bytes of some documents, and where those bytes begin: all at once, or a long document's by and by, overlapping so that each string is in one part."""
+    if len(data) < 2 * K.SLICE_BYTES:
+        yield offsets, data, 0
+        return
+    for a in range(0, max(1, len(data) - length + 1), K.SLICE_BYTES):
+        part = data[a : a + K.SLICE_BYTES + length - 1]
+        yield np.array([0, len(part)]), part, a
+
+
 def segments(offsets: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with the same anchor: anchor hash, segment hash, first string's place in ``data``, strings, document."""
+    """Runs of strings with the same anchor: anchor hash, segment hash, first string's place in ``data``, strings, document.
+
+    Hashes are compared without as many low bits as hold a place in any part of ``windows``, so equal strings
+    have equal anchors wherever they stand.
+    """
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    place_bits = np.uint64((1 << (len(data)).bit_length()) - 1)
+    place_bits = np.uint64((1 << (2 * K.SLICE_BYTES + length).bit_length()) - 1)
     hashes = window_hashes(data)
     least = sliding_least((hashes & ~place_bits) | np.arange(len(hashes), dtype=np.uint64), length - ANCHOR + 1)
     anchor = (least & place_bits).astype(np.int64)
@@ -171,8 +185,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowded: int = CROWDED) -
     Removed is every byte covered by a string of ``length`` bytes that also starts anywhere else, in the same
     row included; strings never cross rows and are judged on the input. ``kept`` holds the remaining bytes,
     ``spans`` the removed runs as start and end by turns. A null text counts as empty. Repeated rows are
-    rows like any other, so they remove each other. Extra columns are ignored; an empty table gives an
-    empty result.
+    rows like any other, so they remove each other. Extra columns are ignored whatever their names; an empty table gives an
+    empty result. Texts are read whole, a long one half a megabyte at a time; where it is cut it is held as bytes.
     """
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be at least {2 * ANCHOR}")
@@ -180,32 +194,24 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowded: int = CROWDED) -
     work = Work(spark, "suffix")
     parts = shuffle_partitions(spark)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            offsets, data = K.text_bytes(batch.column(2))
-            raw = memoryview(np.ascontiguousarray(data))
-            at = offsets.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze(raw[a:b]) for a, b in zip(at, at[1:])], pa.binary())], ["rid", "doc_id", "z"])
-
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = work.keep(rows.mapInArrow(pack, "rid bigint, doc_id bigint, z binary"), "texts", "uncompressed")
+    base = work.keep(rows.mapInArrow(K.pack, "rid bigint, doc_id bigint, n bigint, z binary"), "texts", "uncompressed")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = [expand(z) for z in _bytes(batch.column(1))]
-            offsets = np.cumsum([0, *map(len, texts)])
-            for i, j in K.slices(offsets):
-                h, seg, at, n, owner = segments(offsets[i : j + 1] - offsets[i], np.frombuffer(b"".join(texts[i:j]), np.uint8), length)
-                rid = batch.column(0).to_numpy()[i:j][owner]
-                at = at - (offsets[i:j] - offsets[i])[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(rid), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "seg", "rid", "at", "n"])
-
-    marks = work.keep(base.select("rid", "z").mapInArrow(mark, "h bigint, seg bigint, rid bigint, at int, n int"), "marks", "uncompressed")
+            for i, j, offsets, data in K.slabs(batch.column(1), batch.column(2)):
+                for edges, part, begin in windows(offsets, data, length):
+                    h, seg, at, n, owner = segments(edges, part, length)
+                    rid = batch.column(0).to_numpy()[i:j][owner]
+                    at = at - edges[owner] + begin
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(rid), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "seg", "rid", "at", "n"])
+        K.release()
+
+    marks = work.keep(base.select("rid", "n", "z").mapInArrow(mark, "h bigint, seg bigint, rid bigint, at int, n int"), "marks", "uncompressed")
     again = marks.groupBy("h").agg(F.count("*").alias("c"), (F.min("seg") != F.max("seg")).alias("mixed")).where("c > 1").select("h", "mixed")
     again = work.keep(again, "again")
-    hits = work.keep(marks.join(again, "h"), "hits")
+    hits = work.keep(marks.join(again.hint("merge"), "h"), "hits")  # anchors grow with the texts: never broadcast
+    work.drop(work.where["marks"], work.where["again"])
     work.release()
 
     # anchors with different segments: one of each, with its text
@@ -244,6 +250,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowded: int = CROWDED) -
                 size += len(row[3])
         if held:
             yield done(held)
+        K.release()
 
     plain = texts.where("not crowd").select("h", "seg", "c", "text").repartition(parts, "h").sortWithinPartitions("h", "seg").mapInArrow(compare, "h bigint, seg bigint, runs array<int>")
 
@@ -255,15 +262,23 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowded: int = CROWDED) -
                 one = K.span_hash(prefix, at, at + length)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h)), pa.array(np.full(len(at), seg)), pa.array(np.full(len(at), c)), pa.array(at.astype(np.int32)), pa.array(one.view(np.int64))], ["h", "seg", "c", "k", "one"])
 
-    # an anchor with too many different segments for one task: its strings meet by their hashes
-    each = work.keep(texts.where("crowd").select("h", "seg", "c", "text").mapInArrow(strings, "h bigint, seg bigint, c bigint, k int, one bigint"), "strings")
+    # an anchor with too many different segments for one task: its strings are dealt by their hashes, and where
+    # those meet their bytes are compared, equal ones counted before they are sent
+    crowd = texts.where("crowd")
+    each = work.keep(crowd.select("h", "seg", "c", "text").mapInArrow(strings, "h bigint, seg bigint, c bigint, k int, one bigint"), "strings")
     twice = work.keep(each.groupBy("one").agg(F.sum("c").alias("times")).where("times > 1").select("one"), "twice")
-    rest = each.join(twice, "one").groupBy("h", "seg").agg(F.flatten(F.collect_list(F.array("k", "k"))).alias("runs"))
+    maybe = each.join(twice, "one").groupBy("h", "seg").agg(F.collect_list("k").alias("ks"))
+    maybe = crowd.join(maybe, ["h", "seg"]).select("h", "seg", "c", F.explode("ks").alias("k"), "text")
+    maybe = work.keep(maybe.select("h", "seg", "c", "k", F.substring("text", F.col("k") + 1, F.lit(length)).alias("string")), "maybe")
+    equal = work.keep(maybe.groupBy("string").agg(F.sum("c").alias("times")).where("times > 1").select("string"), "equal")
+    rest = maybe.join(equal, "string").groupBy("h", "seg").agg(F.flatten(F.collect_list(F.array("k", "k"))).alias("runs"))
     runs = work.keep(plain.unionByName(rest).where("size(runs) > 0"), "runs")
 
     mixed = hits.where("mixed").select("h", "seg", "rid", "at").join(runs, ["h", "seg"]).select("rid", F.transform("runs", lambda k: k + F.col("at")).alias("runs"))
+    # all segments of the anchor are one and the same: they are the longer strings, with nothing to tell apart
     single = hits.where("not mixed").select("rid", F.array(F.col("at"), F.col("at") + F.col("n") - 1).alias("runs"))
     spans = work.keep(mixed.unionByName(single).groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "spans")
+    work.prune("texts", "spans")
     work.release()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,6 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowded: int = CROWDED) -
                 out.append((len(text), len(text) - len(kept), len(spans) // 2, hashlib.sha256(kept).hexdigest(), kept, spans))
             cols = [pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32())))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+        K.release()
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<int>"
-    return base.join(spans, "rid", "left").select("doc_id", "z", "runs").mapInArrow(cut, schema)
+    return base.join(spans.hint("merge"), "rid", "left").select("doc_id", "z", "runs").mapInArrow(cut, schema)

@@ -61,3 +61,25 @@ def test_transform_against_brute_force(length):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_long_texts_are_read_in_parts(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3 << 20))
+    cut = (1 << 19) - 120  # across the border of two parts
+    rows = [(1, long), (2, "x" + long[cut : cut + 250] + "y"), (3, long[-300:] + "!"), (4, "z" * 150)]
+    got = {r[0]: r for r in run(spark, rows)}
+    assert [got[d][2:4] for d in (1, 2, 3, 4)] == [(550, 2), (250, 1), (300, 1), (0, 0)]
+    assert got[1][5] == (long[:cut] + long[cut + 250 : -300]).encode()
+
+
+def test_anchors_do_not_depend_on_what_is_around():
+    from millrace.llm.suffix import segments, windows
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 1 << 19, dtype=np.uint8)
+    whole = segments(np.array([0, len(data)]), data, 200)
+    part = segments(np.array([0, 5000]), data[1000:6000], 200)
+    anchors = {(a + k): h for h, a, n in zip(whole[0].tolist(), whole[2].tolist(), whole[3].tolist()) for k in range(n)}
+    assert all(anchors[1000 + a + k] == h for h, a, n in zip(part[0].tolist(), part[2].tolist(), part[3].tolist()) for k in range(n))
+    assert [len(p) for _, p, _ in windows(np.array([0, 3 << 19]), np.zeros(3 << 19, np.uint8), 200)] == [(1 << 19) + 199] * 2 + [1 << 19]
