@@ -3,7 +3,7 @@
 Rows are dealt into blocks by a hash of their id, queries too; a task holds one block of rows and one
 of queries. In a block, inner-product search becomes Euclidean search by one more coordinate that
 lifts every vector to the block's largest norm. Each of ``projections`` random directions keeps the
-block's rows sorted; around a query's own projection a window grows by virtual rehashing, and a row
+block's rows sorted: with 256 of them, collisions tell rows apart well enough that few need be verified; around a query's own projection a window grows by virtual rehashing, and a row
 that lies in enough windows is verified with the exact inner product on the original vectors. Windows
 grow until a row nearer than the k-th best found would, with a margin of ``sigmas`` standard
 deviations, have collided often enough; so the share of rows verified follows the data.
@@ -16,9 +16,10 @@ from math import erf, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import kernels as K
 from millrace.llm.storage import Work, shuffle_partitions
 
 
@@ -34,9 +35,11 @@ class Block:
         self.top = norms.max()
         lifted = np.hstack([even, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
         self.axes = np.random.default_rng(seed).standard_normal((lifted.shape[1], projections))
-        at = (lifted @ self.axes).T
-        self.order = np.argsort(at, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(at, self.order, axis=1))
+        self.order, self.sorted = np.empty((projections, len(ids)), np.int32), np.empty((projections, len(ids)), np.float32)
+        for j in range(projections):  # one direction at a time: memory is eight bytes a row and direction
+            at = (lifted @ self.axes[:, j]).astype(np.float32)
+            self.order[j] = np.argsort(at, kind="stable")
+            self.sorted[j] = at[self.order[j]]
 
     def first_window(self, queries: np.ndarray, k: int) -> float:
         """A half-width to start from: three quarters of the typical k-th distance, from a few queries and rows."""
@@ -58,13 +61,14 @@ class Block:
         for i, query in enumerate(queries):
             light, span, factor = even[i].astype(np.float32), float(even[i] @ even[i]), self.scale / sizes[i]
             count, seen = np.zeros(n, np.int64), np.zeros(n, bool)
+            here = centre[i].tolist()
             rows, scores = np.zeros(0, np.int64), np.zeros(0)
             low = high = None
             half, checked, idle = start, 0, 0
             slack = 1e-5 * sqrt(self.top * span)  # far above what single precision loses
             while True:
-                lo = [int(s.searchsorted(c - half, "left")) for s, c in zip(self.sorted, centre[i])]
-                hi = [int(s.searchsorted(c + half, "right")) for s, c in zip(self.sorted, centre[i])]
+                lo = [int(s.searchsorted(np.float32(c - half), "left")) for s, c in zip(self.sorted, here)]
+                hi = [int(s.searchsorted(np.float32(c + half), "right")) for s, c in zip(self.sorted, here)]
                 if low is None:
                     new = [o[a:b] for o, a, b in zip(self.order, lo, hi)]
                 else:
@@ -95,13 +99,15 @@ class Block:
             yield i, self.ids[rows], scores, checked
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 65536, query_rows: int = 512, projections: int = 64, threshold: float = 0.6, growth: float = 1.07, sigmas: float = 2.0, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 65536, query_rows: int = 4096, projections: int = 256, threshold: float = 0.6, growth: float = 1.05, sigmas: float = 2.6, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by inner product, in double precision.
 
     ``vectors`` and ``queries``: (vec_id, embedding); a query's own id is no candidate. Ties go to the smaller
     id; with fewer candidates than k all are returned. Rows with a null id, and vectors null, empty, zero or
-    with null or non-finite components, take no part. An id stands for one vector: repeated rows count once.
-    Only vectors of equal length are compared. Extra columns are ignored; empty tables give an empty result.
+    with null or non-finite components, take no part. An id stands for one vector: repeated rows count once, and of
+    several vectors the smallest by components stands. Only vectors of equal length are compared. Extra columns are
+    ignored whatever their names; empty tables give an empty result. Queries travel in blocks of ``query_rows``, or
+    fewer where there are not yet as many pairs of blocks as cores; each such block meets every block of rows.
     """
     spark = vectors.sparkSession
     work = Work(spark, "ann")
@@ -109,7 +115,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
     cast = [F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
     rows = work.keep(vectors.select(*cast).where(F.coalesce(usable, F.lit(False))), "vectors")
     asked = work.keep(queries.select(*cast).where(F.coalesce(usable, F.lit(False))), "queries")
-    n_blocks, n_asked = max(1, -(-rows.count() // block_rows)), max(1, -(-asked.count() // query_rows))
+    n_blocks, n_asking, cores = max(1, -(-rows.count() // block_rows)), asked.count(), spark.sparkContext.defaultParallelism
+    n_asked = max(1, -(-n_asking // query_rows), min(-(-n_asking // 64), -(-cores // n_blocks)))
     hashed = F.xxhash64(F.lit(seed), "vec_id")
     data = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("q"), F.pmod(hashed, F.lit(n_blocks)).alias("b"), F.lit(0).alias("asks"), "vec_id", "embedding")
     ask = asked.select(F.pmod(hashed, F.lit(n_asked)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("b"), F.lit(1).alias("asks"), "vec_id", "embedding")
@@ -149,18 +156,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
             have, want = parts(t.filter(pa.array(asks == 0))), parts(t.filter(pa.array(asks == 1)))
             for d in sorted(have.keys() & want.keys()):
                 block = Block(*have[d], projections, threshold, seed)
-                out = [(int(want[d][0][i]), ids, scores) for i, ids, scores, _ in block.search(*want[d], k, growth, sigmas) if len(ids)]
-                if out:
-                    ends = np.cumsum([0, *(len(x) for _, x, _ in out)]).astype(np.int32)
-                    best = pa.StructArray.from_arrays([pa.array(-np.concatenate([x for _, _, x in out])), pa.array(np.concatenate([x for _, x, _ in out]))], ["far", "vec_id"])
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in out], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), best)], ["query_id", "best"])
-
-    tasks = max(shuffle_partitions(spark), n_blocks * n_asked)
-    found = both.repartition(tasks, "pair").sortWithinPartitions("pair", "asks", "vec_id").mapInArrow(run, "query_id bigint, best array<struct<far: double, vec_id: bigint>>")
-    merge = f"slice(array_sort(flatten(collect_list(best))), 1, {int(k)})"
-    best = found.groupBy("query_id").agg(F.expr(merge).alias("best"))
-    ranked = best.select("query_id", F.posexplode("best").alias("at", "hit"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
+                for i, ids, scores, _ in block.search(*want[d], k, growth, sigmas):
+                    if len(ids):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), want[d][0][i])), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+        K.release()
+
+    pairs = n_blocks * n_asked
+    tasks = min(pairs, max(shuffle_partitions(spark), 8 * cores))
+    dealt = both.repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("pair", "asks", "vec_id", "embedding")
+    found = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= int(k)).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_every(vectors: DataFrame, every: int = 20, **options) -> DataFrame:

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from millrace.llm.ann import nearest, nearest_every
+from millrace.llm.ann import Block, nearest, nearest_every
 
 
 def brute(rows, every=20, k=20):
@@ -69,3 +69,22 @@ def test_the_windows_miss_less_than_one_in_a_hundred(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "vec_id bigint, embedding array<double>")
     want = brute([(i, v.tolist()) for i, v in enumerate(near)], every=60)
     assert recall(grouped(nearest_every(df, every=60)), want) >= 0.99
+
+
+def test_few_rows_are_verified():
+    rng = np.random.default_rng(5)
+    for n in (4000, 16000):
+        x = rng.standard_normal((n, 64))
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        block = Block(np.arange(n), x, 256, 0.6, 11)
+        asked = np.arange(0, n, n // 12)
+        got = list(block.search(asked, x[asked], 20, 1.05, 2.6))
+        assert np.mean([checked for *_, checked in got]) < 0.5 * n
+        hits = [len(set(ids) & set(np.argsort(-(x @ x[q]), kind="stable")[1:21])) / 20 for (i, ids, _, _), q in zip(got, asked)]
+        assert np.mean(hits) >= 0.95
+
+
+def test_rows_of_one_id_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 2.0]), (2, [0.5, 1.0]), (0, [1.0, 1.0]), (0, [3.0, 0.0])]
+    got = grouped(nearest_every(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")))
+    assert got == {0: [(2, 1.5), (1, 1.0)]}
