@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from millrace.llm.mixing import hypergeometric, mix
+from millrace.llm import mixing
+from millrace.llm.mixing import hypergeometric, mix, split_tree
+from millrace.llm.storage import Work
 
 
 def water(sizes, weights=(5, 2, 1), cap=3):
@@ -71,3 +73,55 @@ def test_hypergeometric_law(spark):
         assert abs(got[x] / n - comb(18, x) * comb(32, 25 - x) / comb(50, 25)) < 2 / n
     big = spark.range(2000).selectExpr("3000000D as n", "1000000D as k", "1500000D as d", "(id + 0.5D) / 2000 as u").selectExpr(f"{hypergeometric('n', 'k', 'd', 'u')} as x").toPandas().x
     assert abs(big.mean() - 500_000) < 10 and big.std() == pytest.approx(np.sqrt(1.5e6 * (1 / 3) * (2 / 3) * 0.5), rel=0.02)
+
+
+def brute_tree(quotas, levels, seed, spark):
+    """The tree written out for few sources: at each node the left half of the shards draws from one source after the other."""
+    node = {0: dict(quotas)}
+    for level in range(levels):
+        out = {}
+        for shard, have in node.items():
+            total = sum(have.values())
+            drawn, out[2 * shard], out[2 * shard + 1] = -(-total // 2), {}, {}
+            for rank in sorted(have):
+                u = f"((pmod(xxhash64({rank}L, {shard}, 0, {level}, {seed}), 4503599627370496) + 0.5D) / 4503599627370496D)"
+                k = int(spark.sql(f"SELECT {hypergeometric(f'{total}D', f'{have[rank]}D', f'{drawn}D', u)}").first()[0])
+                out[2 * shard][rank], out[2 * shard + 1][rank] = k, have[rank] - k
+                total, drawn = total - have[rank], drawn - k
+        node = out
+    return {(r, s): n for s, have in node.items() for r, n in have.items()}
+
+
+def test_the_tree_deals_exact_quotas(spark, monkeypatch):
+    quotas = {0: 37, 1: 5, 2: 0, 3: 110}
+    df = spark.createDataFrame(list(quotas.items()), "rank bigint, n bigint")
+    got = {(r["rank"], r.shard): r.n for r in split_tree(df, 4, 2, 20, Work(spark, "test")).collect()}
+    assert got == brute_tree(quotas, 2, 20, spark)
+    # many sources: children of children
+    monkeypatch.setattr(mixing, "FAN", 4)
+    many = {i: (i * 7) % 23 for i in range(50)}
+    df = spark.createDataFrame(list(many.items()), "rank bigint, n bigint")
+    got = split_tree(df, 50, 2, 20, Work(spark, "test")).collect()
+    assert len(got) == 200 and all(r.n >= 0 for r in got)
+    by_rank, by_shard = Counter(), Counter()
+    for r in got:
+        by_rank[r["rank"]] += r.n
+        by_shard[r.shard] += r.n
+    assert all(by_rank[i] == n for i, n in many.items()) and max(by_shard.values()) - min(by_shard.values()) <= 1
+
+
+def test_blocks_of_a_shard_are_disjoint(spark):
+    rows = [(i, "w " * (i % 5 + 1), "ab"[i % 3 > 0]) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mix(docs, blocks=32).collect()
+    drawn = Counter((g.source, g.doc_id, x["pass"]) for g in got for x in g.draws)
+    assert max(drawn.values()) == 1  # a pass draws a document for one shard
+    from pyspark.sql import functions as F
+
+    block = {r.doc_id: r.b for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(20), "doc_id", "text"), F.lit(32)).alias("b")).collect()}
+    of = {}
+    for g in got:
+        for x in g.draws:
+            assert of.setdefault((g.source, block[g.doc_id], x["pass"]), x.shard) == x.shard  # a block goes to one shard whole
+    blocks = Counter(of.values())
+    assert len(blocks) == 16 and max(blocks.values()) - min(blocks.values()) <= 1
