@@ -5,6 +5,12 @@ five-word shingles and cut into bands; ten bands of three rows find a pair of si
 probability 0.999. Only bands met by different paragraphs go on: their members' shingles are fetched,
 exact Jaccard similarities are taken inside each band, and links of 0.8 or more are joined to
 components. Of each component the paragraph with the smallest (doc_id, place) stays.
+
+A passage inside otherwise different long paragraphs is found by pieces: a paragraph of fifty words or more
+is cut where a word's hash is the least within REACH words, so equal passages are cut alike wherever they
+stand. A piece has about nine shingles, and a changed word leaves it far below the similarity, so pieces
+are matched whole; what stays of the paragraphs is searched, and repeated pieces in a row of PASSAGE words or
+more are removed but for their first occurrence.
 """
 
 from __future__ import annotations
@@ -13,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import kernels as K
 from millrace.llm.components import components
@@ -25,6 +32,8 @@ BANDS, ROWS = 10, 3
 #: paragraphs of a band that are compared in one task; a band with more is dealt into shares by hash, anew
 #: for each band, and every two shares are compared, but for those inside the band's largest component so far
 CROWDED = 4096
+#: paragraphs of so many words or more are cut into pieces; words on either side that decide a cut; words of a repeated passage
+LONG, REACH, PASSAGE = 50, 6, 24
 _LINE = K.lut(b"\n")
 _KEYS = np.random.default_rng(77).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -93,6 +102,7 @@ class Paragraphs:
         for k in np.flatnonzero(self.n_words == 0):
             line = low[start[k] : end[k]]
             self.identity[k] = K.span_hash(K.prefix_sums(line), np.array([0]), np.array([len(line)]))[0] ^ np.uint64(1)
+        self.words, self.first_word, self.word_start, self.word_end = words, lo, ws, we
         grams = K.combine(words, SHINGLE)
         count = np.maximum(self.n_words - SHINGLE + 1, 1)
         self.bounds = np.concatenate([[0], np.cumsum(count)])
@@ -101,6 +111,29 @@ class Paragraphs:
         long = np.repeat(self.n_words >= SHINGLE, count)
         self.shingles[long] = grams[at[long]]
 
+    def cuts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of long paragraphs: paragraph, first byte, the byte behind (up to the next piece), words, identity."""
+        n = len(self.words)
+        of = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        long = (self.n_words >= LONG)[of]
+        at, first = np.arange(n), self.first_word[of]
+        last = first + self.n_words[of]
+        h = K.mix(self.words ^ np.uint64(77))
+        cut = long & (at - REACH >= first) & (at + REACH < last)
+        for k in range(1, min(REACH, max(n - 1, 0)) + 1):  # ties go to the left
+            cut[k:] &= h[k:] < h[:-k]
+            cut[:-k] &= h[:-k] <= h[k:]
+        begin = np.flatnonzero(cut | (long & (at == first)))
+        owner = of[begin]
+        end = np.minimum(np.append(begin[1:], n), last[begin])
+        sums = np.zeros(n + 1, np.uint64)
+        pw, inv = K.powers(n + 1)
+        np.cumsum(self.words * pw[:n], out=sums[1:])
+        identity = K.mix((sums[end] - sums[begin]) * inv[begin] + (end - begin).astype(np.uint64)) ^ np.uint64(2)
+        closes = end == last[begin]
+        behind = np.where(closes, self.word_end[end - 1], self.word_start[np.minimum(end, max(n - 1, 0))])
+        return owner, self.word_start[begin], behind, end - begin, identity
+
     def bands(self, which: np.ndarray) -> np.ndarray:
         """(BANDS, len(which)) band keys."""
         out = np.zeros((BANDS, len(which)), np.uint64)
@@ -217,7 +250,13 @@ def near_links(left_ids: np.ndarray, left: list[np.ndarray], right_ids: np.ndarr
 
 
 def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowded: int = CROWDED, rid: str | None = None) -> DataFrame:
-    """(doc_id, rid, place, start, end, n_words, component, repeated, kept_in, keep): one row per paragraph of ``docs``.
+    """The first table of ``duplicates``."""
+    return duplicates(docs, similarity, crowded, rid)[0]
+
+
+def duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowded: int = CROWDED, rid: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rid, place, start, end, n_words, component, repeated, kept_in, keep): one row per paragraph of ``docs``;
+    and (doc_id, rid, place, start, end, n_words, kept_in): one row per passage to remove inside paragraphs that stay.
 
     ``rid`` tells rows apart that share a doc_id, or have none; it is numbered here, or taken from a bigint column of that
     name. start and end are byte offsets in the text. component is the identity of the group, keep false for
@@ -248,11 +287,15 @@ def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowde
                     short = p.n_words <= SHINGLE  # one shingle: alike only if equal
                     bands = np.zeros((BANDS, len(short)), np.int64)
                     bands[:, ~short] = p.bands(np.flatnonzero(~short)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([*cols, *(pa.array(b, mask=short) for b in bands)], ["rid", "doc_id", "place", "start", "end", "n_words", "pid", *keys])
+                    of, first, behind, n, piece = p.cuts()
+                    first, behind = first - at[p.owner[of]] + begin, behind - at[p.owner[of]] + begin
+                    cells = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(piece.view(np.int64))], ["start", "end", "n_words", "pid"])
+                    held = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(short) + 1)).astype(np.int32)), cells)
+                    yield pa.RecordBatch.from_arrays([*cols, held, *(pa.array(b, mask=short) for b in bands)], ["rid", "doc_id", "place", "start", "end", "n_words", "pid", "pieces", *keys])
                     done += len(p.place)
         K.release()
 
-    schema = "rid bigint, doc_id bigint, place int, start int, end int, n_words int, pid bigint, " + ", ".join(f"{k} bigint" for k in keys)
+    schema = "rid bigint, doc_id bigint, place int, start int, end int, n_words int, pid bigint, pieces array<struct<start: int, end: int, n_words: int, pid: bigint>>, " + ", ".join(f"{k} bigint" for k in keys)
     where = work.keep(base.mapInArrow(locate, schema), "places")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,32 +430,90 @@ def paragraph_duplicates(docs: DataFrame, similarity: float = SIMILARITY, crowde
     named = work.keep(named.select("pid", F.coalesce("root", "pid").alias("component"), "first"), "named")
     heads = work.keep(named.groupBy("component").agg(F.min("first").alias("head")), "heads")
     groups = work.keep(named.select("pid", "component").join(heads, "component").select("pid", "component", "head"), "groups")
-    out = where.join(groups, "pid", "left")
+    lines = where.drop("pieces", *keys)
+    out = lines.join(groups, "pid", "left")
     keep = F.coalesce((F.col("rid") == F.col("head.rid")) & (F.col("place") == F.col("head.place")), F.lit(True))
-    return out.select("doc_id", "rid", "place", "start", "end", "n_words", F.coalesce("component", "pid").alias("component"), F.col("component").isNotNull().alias("repeated"), F.col("head.doc_id").alias("kept_in"), keep.alias("keep"))
+    found = out.select("doc_id", "rid", "place", "start", "end", "n_words", F.coalesce("component", "pid").alias("component"), F.col("component").isNotNull().alias("repeated"), F.col("head.doc_id").alias("kept_in"), keep.alias("keep"))
+    return found, _passages(where, groups, work)
+
+
+def _passages(where: DataFrame, groups: DataFrame, work: Work) -> DataFrame:
+    """The second table of ``duplicates``, from the paragraphs with their pieces and the groups of whole paragraphs."""
+    parted = where.where("size(pieces) > 0")
+    cells = parted.select("doc_id", "rid", "place", F.posexplode("pieces").alias("no", "p")).select("doc_id", "rid", "place", "no", "p.*")
+    again = work.keep(cells.groupBy("pid").count().where("count > 1").select("pid"), "again")
+    # what goes as a whole paragraph is searched no more
+    gone = parted.select("pid", "rid", "place").join(groups, "pid").where("rid <> head.rid or place <> head.place").select("rid", "place")
+    hits = work.keep(cells.join(again, "pid").join(gone, ["rid", "place"], "left_anti"), "hits")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "place", "no")).alias("first")
+    heads = hits.groupBy("pid").agg(F.count("*").alias("times"), first).where("times > 1").select("pid", "first")
+    hits = work.keep(hits.join(heads, "pid"), "hits")
+    # pieces in a row: their number less their place among the line's repeated ones does not change
+    line = Window.partitionBy("rid", "place")
+    run = hits.withColumn("run", F.col("no") - F.row_number().over(line.orderBy("no")))
+    run = run.withColumn("words", F.sum("n_words").over(Window.partitionBy("rid", "place", "run"))).where(F.col("words") >= PASSAGE)
+    run = run.where("rid <> first.rid or place <> first.place or no <> first.no")
+    run = run.withColumn("run", F.col("no") - F.row_number().over(line.orderBy("no")))
+    out = run.groupBy("doc_id", "rid", "place", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min("first.doc_id").alias("kept_in"))
+    return work.keep(out.drop("run"), "passages")
 
 
 def paragraph_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, n_paragraphs, n_repeated, n_removed, removed, kept_in): documents with paragraphs.
+    """(doc_id, n_paragraphs, n_repeated, n_removed, removed, kept_in, passages): documents with paragraphs.
 
     n_repeated counts paragraphs that have a near copy, the kept ones included; ``removed`` are the places that
-    go, ascending, and kept_in the ids of the documents that keep their like. Rows that share a doc_id stay apart; a row without paragraphs has no row here.
+    go, ascending, ``passages`` the byte spans that go inside paragraphs that stay; n_removed counts both, and
+    kept_in are the ids of the documents that keep their like. Rows that share a doc_id stay apart; a row
+    without paragraphs has no row here, so an empty table gives none.
     """
-    found = paragraph_duplicates(docs, similarity)
-    out = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n_paragraphs"), F.count_if("repeated").alias("n_repeated"), F.array_sort(F.collect_list(F.when(~F.col("keep"), F.col("place")))).alias("removed"), F.array_sort(F.collect_set(F.when(~F.col("keep"), F.col("kept_in")))).alias("kept_in"))
-    return out.select("doc_id", "n_paragraphs", "n_repeated", F.size("removed").cast("bigint").alias("n_removed"), "removed", "kept_in")
+    found, passages = duplicates(docs, similarity)
+    out = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n_paragraphs"), F.count_if("repeated").alias("n_repeated"), F.array_sort(F.collect_list(F.when(~F.col("keep"), F.col("place")))).alias("removed"), F.collect_set(F.when(~F.col("keep"), F.col("kept_in"))).alias("kept_in"))
+    inside = passages.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("passages"), F.collect_set("kept_in").alias("others"))
+    out = out.join(inside, "rid", "left").withColumn("passages", F.coalesce("passages", F.array().cast("array<struct<start:int,end:int>>")))
+    kept = F.array_sort(F.array_union("kept_in", F.coalesce("others", F.array().cast("array<bigint>"))))
+    return out.select("doc_id", "n_paragraphs", "n_repeated", (F.size("removed") + F.size("passages")).cast("bigint").alias("n_removed"), "removed", kept.alias("kept_in"), "passages")
+
+
+def _without(text: str, gone: list[int], spans: list[tuple[int, int]]) -> str:
+    """``text`` without the paragraphs ``gone``, their line ends, and the byte spans."""
+    raw, out, at, place = text.encode(), [], 0, 0
+    gone_ = set(gone)
+    for line in raw.split(b"\n"):
+        begin, at = at, at + len(line) + 1
+        if line.strip(b" \t\n\v\f\r"):
+            place += 1
+            if place - 1 in gone_:
+                continue
+            for a, b in sorted((s for s in spans if begin <= s[0] < at), reverse=True):
+                line = line[: a - begin] + line[b - begin :]
+        out.append(line)
+    return b"\n".join(out).decode()
 
 
 def remove_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the texts' removed paragraphs and their line ends taken out; all columns kept.
+    """``docs`` with the texts' removed paragraphs, their line ends, and repeated passages taken out; all columns kept.
 
     Rows are told apart by number, so rows that share a doc_id or have none lose only their own paragraphs.
     A null text stays null; an empty table gives an empty result.
     """
-    rid, gone = fresh(docs, "rid"), fresh(docs, "gone")
-    base = Work(docs.sparkSession, "paragraphs").keep(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
-    found = paragraph_duplicates(base, similarity, rid=rid).where(~F.col("keep"))
-    found = found.groupBy(F.col("rid").alias(rid)).agg(F.collect_list("place").alias(gone))
-    lines = "split(text, '\\n', -1)"
-    numbered = f"aggregate({lines}, named_struct('k', 0, 'out', cast(array() as array<string>)), (s, x) -> if(x rlike '[^\\\\x20\\\\x09-\\\\x0D]', named_struct('k', s.k + 1, 'out', if(array_contains({gone}, s.k), s.out, array_append(s.out, x))), named_struct('k', s.k, 'out', array_append(s.out, x))), s -> array_join(s.out, '\\n'))"
-    return base.join(found, rid, "left").withColumn("text", F.expr(f"if({gone} is null, text, {numbered})")).drop(rid, gone)
+    rid, cut = fresh(docs, "rid"), fresh(docs, "cut")
+    work = Work(docs.sparkSession, "paragraphs")
+    base = work.keep(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
+    lines, passages = duplicates(base, similarity, rid=rid)
+    lines = lines.where(~F.col("keep")).select("rid", "place", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    each = lines.unionByName(passages.select("rid", F.lit(None).cast("int").alias("place"), "start", "end"))
+    each = work.keep(each.groupBy(F.col("rid").alias(rid)).agg(F.collect_list("place").alias("gone"), F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("spans")).select(rid, F.struct("gone", "spans").alias(cut)), "cut")
+    names = [*docs.columns, rid]
+    at, where = names.index("text"), len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            texts = [t if c is None or t is None else _without(t, c["gone"], [(s["start"], s["end"]) for s in c["spans"]]) for t, c in zip(texts, batch.column(where).to_pylist())]
+            cols = [c for i, c in enumerate(batch.columns) if i != where]
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    both = base.withColumn("text", F.col("text").cast("string")).join(each.hint("merge"), rid, "left").select(*(F.col(f"`{c}`") for c in names), cut)
+    schema = T.StructType([f for f in both.schema.fields if f.name != cut])
+    return both.mapInArrow(run, schema).drop(rid)
