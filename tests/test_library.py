@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import markup, strings, timing
 from millrace.operators import crawl, explorer, svm, tables, usage
+from millrace.plans.running import running
 from millrace.sources import records, stats, texts
+from millrace.streaming import usage as stream
 
 
 def one(spark, column):
@@ -172,3 +174,68 @@ def test_svm(spark, tmp_path):
     from pyspark.ml.classification import LinearSVCModel
 
     assert LinearSVCModel.load(str(tmp_path / "model")).coefficients == model.coefficients
+
+
+def test_trees_of_any_depth(spark):
+    rows = [("n0", None, True)] + [(f"n{i}", f"n{i - 1}", False) for i in range(1, 36)] + [("r", None, False), ("x", "r", False), ("c1", "c2", True), ("c2", "c1", False)]
+    nodes = spark.createDataFrame(rows, "id string, parent_id string, hit boolean")
+    assert {r.id for r in tables.tree_filter(nodes, F.col("hit")).collect()} == {f"n{i}" for i in range(36)} | {"r", "c1", "c2"}
+    assert {r.id for r in tables.tree_filter(nodes, F.col("id") == "n35").collect()} == {f"n{i}" for i in range(36)} | {"r"}
+
+
+def test_outcomes_of_requests(spark):
+    rows = [("h", "/a", 1, 503, "x"), ("h", "/a", 2, 200, "<p>"), ("h", "/b", 1, 200, "bad"), ("h", "/b", 2, 500, None), ("h", "/b", 3, 200, "<p>"), ("h", "/c", 1, None, None), ("h", "/d", 1, 404, "<p>"), ("h", "/e", 1, 200, "again <p>"), ("h", "/e", 2, 200, "bad")]
+    asked = spark.createDataFrame(rows, "host string, path string, attempt int, status int, html string")
+    got = lambda **o: {r.path: (r.state, r.attempts, r.error_status) for r in crawl.outcomes(asked, ["<p>"], ["bad"], ["again"], **o).collect()}
+    assert got(max_retries=2) == {"/a": ("ok", 2, None), "/b": ("failed", 2, 500), "/c": ("retry", 1, None), "/d": ("ok", 1, None), "/e": ("failed", 2, None)}
+    assert got() == {"/a": ("failed", 1, 503), "/b": ("failed", 1, None), "/c": ("failed", 1, None), "/d": ("ok", 1, None), "/e": ("failed", 1, None)}
+    assert got(use_proxies=True)["/b"] == ("ok", 3, None)
+
+
+def test_running_sums_and_positions(spark):
+    df = spark.range(0, 200, 1, 9).select((F.col("id") * 37 % 200).alias("k"), F.col("id").alias("before0"), F.lit(2).alias("part"))
+    got = running(df, [F.col("k")], "at", {"sum": F.col("k")}).orderBy("k").collect()
+    assert [(r.at, r["sum"], r.before0 * 37 % 200, r.part) for r in got] == [(k, k * (k + 1) // 2, k, 2) for k in range(200)]
+    assert running(df.limit(0), [F.col("k")], "at").count() == 0
+    assert [r.row_id for r in records.positions(df.orderBy(F.desc("k"))).orderBy(F.desc("k")).collect()] == list(range(200))
+
+
+def test_models_and_what_they_hold(spark, tmp_path):
+    rows = svm.vectors(spark.createDataFrame([(0.0, [0.0, 1.0]), (1.0, [1.0, 0.0])] * 5, "label double, v array<double>"), "v")
+    plain, sure = svm.train_linear(rows), svm.train_probabilities(rows)
+    with pytest.raises(ValueError):
+        svm.probabilities(plain, rows)
+    assert all(max(r.probabilities) > 0.9 and r.prediction == r.label for r in svm.probabilities(sure, rows).collect())
+    held = svm.accessors(sure)
+    assert (held["n_classes"], held["labels"], held["n_features"]) == (2, [0.0, 1.0], 2) and held["parameters"]["maxIter"] == 50
+    assert [r.idx for r in svm.weight_table(plain, spark).collect()] == [1, 2]
+    svm.save_model(plain, str(tmp_path / "m"))
+    svm.save_model(sure, str(tmp_path / "m"))
+    assert svm.load_model(str(tmp_path / "m")).coefficients == sure.coefficients
+
+
+def test_stream_by_interval_with_a_restart(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    at = lambda m, v: (datetime.datetime(2024, 1, 1, 0, m), "x", v)
+    put = lambda *rows: spark.createDataFrame(list(rows), "ts timestamp, metric string, value bigint").coalesce(1).write.mode("append").parquet(source)
+    seen = []
+
+    def run():
+        q = stream.start(spark.readStream.schema("ts timestamp, metric string, value bigint").parquet(source), out, state, listener=lambda rows, i: seen.append(i), every="1 second")
+        q.processAllAvailable()
+        q.stop()
+
+    put(at(0, 5), at(0, 7), at(9, 1))
+    run()
+    put(at(0, 100), at(20, 1))  # the first is late by then
+    run()
+    got = {r.bucket // 60_000 % 60: r.sum_value for r in stream.closed(spark, out).collect()}
+    assert got == {0: 12, 9: 1} and seen == sorted(seen)
+
+
+def test_small_helpers(spark):
+    assert one(spark, markup.indent_xml(F.lit("<a><!-- c --><b/></a>"))) == "<a>\n  <!-- c -->\n  <b />\n</a>"
+    summer = F.lit("2024-07-01 12:00:00").cast("timestamp")
+    assert one(spark, timing.zone_offset_ms(summer, "Europe/Berlin")) == 7_200_000
+    with pytest.raises(ValueError):
+        timing.field(summer, "era")
