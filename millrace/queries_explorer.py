@@ -33,6 +33,8 @@ _filter("filter_phrase", '"of the" "à"|"de la"|"in"', f"{_phrase('of the')} AND
 _filter("filter_mixed", 'license|apache "the" -scum  er -', f"({_C % 'license'} OR {_C % 'apache'}) AND {_phrase('the')} AND NOT {_C % 'scum'} AND {_C % 'er'}")
 _filter("filter_literal_bar", "|e a|", f"{_C % '|e'} AND {_C % 'a|'}")
 
+_filter("filter_empty", " ", "true")
+
 
 @query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(' ' || c_custkey || ' ' || c_name || ' ' || c_nationkey || ' ' || c_mktsegment), 'build') AND regexp_matches(lower(' ' || c_custkey || ' ' || c_name || ' ' || c_nationkey || ' ' || c_mktsegment), '(^|[^0-9a-z])7($|[^0-9a-z])')")
 def filter_all_fields(spark, sf_dir):

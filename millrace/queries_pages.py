@@ -200,6 +200,74 @@ def proxy_scraped(spark, sf_dir):
     return P.scraped(nodes.unionByName(nodes.select(F.lit(" ").alias("ip"), "port")), {"h": "8", "z": "0", "o": "1"})
 
 
+@query("SELECT n_nationkey, '/dir' || n_regionkey || '//p' || n_nationkey AS path, '/a/' || n_nationkey AS other, 'h' AS host FROM nation")
+def links_base_tag(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    page = lambda head, link: F.concat(F.lit(head), F.lit('<a href="'), F.lit(link), F.col("n_nationkey").cast("string"), F.lit('">x</a>'))
+    based = n.select("n_nationkey", F.lit("h").alias("host"), F.concat(F.lit("/a/b/"), "n_nationkey").alias("path"), F.concat(F.format_string('<base href="http://o/dir%d/">', "n_regionkey"), page("", "p")).alias("html"))
+    plain = n.select(F.lit("h").alias("host"), F.concat(F.lit("/a/b/"), "n_nationkey").alias("path"), page("", "./../").alias("html"))
+    of = F.regexp_extract("path", "([0-9]+)$", 1).cast("int").alias("n_nationkey")
+    left, right = C.page_links(based).select(of, "host", F.col("link_path").alias("path2")), C.page_links(plain).select(of, F.col("link_path").alias("other"))
+    return left.join(right, "n_nationkey").select("n_nationkey", F.col("path2").alias("path"), "other", "host")
+
+
+@query("SELECT n_nationkey, '/x%' || lower(hex(33 + n_nationkey)) AS entity, '/a+b/A/' || replace(n_name, ' ', '+') || '?c d' AS encoded FROM nation")
+def links_encoded(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", C.decode_entities(F.concat(F.lit("/x&#"), (F.col("n_nationkey") + 33).cast("string"), F.lit(";"))).alias("entity"), C.encode_path(F.concat(F.lit("/a b/%41/"), "n_name", F.lit("?c d"))).alias("encoded"))
+
+
+@query("SELECT n_nationkey, '/main/' || n_nationkey AS link_path FROM nation")
+def links_restricted(spark, sf_dir):
+    html = F.format_string('<div id="nav"><a href="/nav/%d">n</a></div><div id="main"><p><a href="/main/%d">m</a></div>', "n_nationkey", "n_nationkey")
+    pages = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(C.links(M.restrict(html, [".//div[@id='main']"]))).alias("l"))
+    return pages.select("n_nationkey", F.col("l.href").alias("link_path"))
+
+
+@query("SELECT CASE WHEN n_regionkey > 1 THEN 1 ELSE -1 END::DOUBLE AS label, count(*) AS n, sum(n_nationkey + 1)::DOUBLE AS first, sum(n_regionkey + 1)::DOUBLE AS third FROM nation GROUP BY 1")
+def svm_libsvm_file(spark, sf_dir):
+    path = scratch(spark, "libsvm")
+    n = table(spark, sf_dir, "nation")
+    n.select(F.format_string("%s 1:%d  3:%d", F.when(F.col("n_regionkey") > 1, F.lit("+1")).otherwise(F.lit("-1")), F.col("n_nationkey") + 1, F.col("n_regionkey") + 1)).write.text(path)
+    v = S.vector_to_array("features")
+    return L.read_libsvm(spark, path, 3).groupBy("label").agg(F.count("*").alias("n"), F.sum(v[0]).alias("first"), F.sum(v[2]).alias("third"))
+
+
+@query("SELECT '10.1.0.' || n_nationkey AS ip, 9000 + n_regionkey AS port, 1700000000001::BIGINT AS refreshed FROM nation")
+def proxy_list_file(spark, sf_dir):
+    path = scratch(spark, "proxies")
+    lines = table(spark, sf_dir, "nation").select(F.format_string("10.1.0.%d:%d", F.col("n_nationkey"), F.col("n_regionkey") + 9000).alias("value"))
+    lines.unionByName(spark.createDataFrame([("lastRefreshTime=1700000000001",)], "value string")).write.text(path)
+    return L.read_proxy_list(spark, path)
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def table_repaired(spark, sf_dir):
+    path = scratch(spark, "damaged")
+    table(spark, sf_dir, "nation").write.parquet(f"{path}/table")
+    spark.createDataFrame([("not a table",)], "value string").coalesce(1).write.text(f"{path}/junk")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    junk = fs.Path(f"{path}/junk")
+    bad = next(f.getPath() for f in junk.getFileSystem(conf).listStatus(junk) if f.getPath().getName().startswith("part"))
+    junk.getFileSystem(conf).rename(bad, fs.Path(f"{path}/table/part-00000-bad.parquet"))
+    return R.repair(spark, f"{path}/table", f"{path}/repaired").select("n_nationkey", "n_name")
+
+
+@query("SELECT 'a' || chr(10) || 'b' || chr(10) || count(*) AS value FROM nation")
+def text_file_whole(spark, sf_dir):
+    path = scratch(spark, "text")
+    n = table(spark, sf_dir, "nation").count()
+    spark.createDataFrame([(f"a\r\nb\r{n}",)], "value string").coalesce(1).write.text(path, lineSep="\r\n")
+    return L.read_whole(spark, f"{path}/part-*").select(F.regexp_replace("value", "\n$", "").alias("value"))
+
+
+@query("SELECT '@relation r' || chr(10) || chr(10) || string_agg('@attribute ' || replace(n_name, ' ', 'KOMMA') || ' numeric' || chr(10), '' ORDER BY n_nationkey) || '@attribute class {class0,class1}' || chr(10) || chr(10) || '@data' || chr(10) AS header FROM nation")
+def svm_arff_header(spark, sf_dir):
+    names = [r[0] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.replace("n_name", F.lit(" "), F.lit(","))).collect()]
+    return spark.createDataFrame([(S.arff_header("r", names, 2),)], "header string")
+
+
 # sparse rows from the embeddings: entries of small size are absent
 _ENTRIES = "(SELECT vec_id AS id, i AS idx, embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) t(i) WHERE abs(embedding[i]) >= 0.05)"
 _RANGE = f"(SELECT idx, CASE WHEN count(*) < (SELECT count(*) FROM embeddings) THEN least(min(value), 0) ELSE min(value) END AS low, CASE WHEN count(*) < (SELECT count(*) FROM embeddings) THEN greatest(max(value), 0) ELSE max(value) END AS high FROM {_ENTRIES} GROUP BY 1)"
