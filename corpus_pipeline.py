@@ -3,6 +3,10 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. ``run`` applies them to the documents table and
 deletes a stage's intermediate tables as soon as its result is written.
+All but the last stage return the columns they were given, whatever their names. Null ids and texts, empty
+and very long texts, ties, repeated rows and empty tables are handled as the operators' docstrings say: a null
+text counts as an empty one, rows are told apart even where they share an id, and of null and wordless texts,
+which have one fingerprint, near_duplicates keeps one.
 ORACLE_SQL is None: the stages train a classifier, hash and tokenize, which SQL cannot express; the tests
 hold ``run`` against a brute-force version instead.
 """
