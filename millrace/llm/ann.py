@@ -3,7 +3,7 @@
 Rows are dealt into blocks by a hash of their id, queries too; a task holds one block of rows and one
 of queries. In a block, inner-product search becomes Euclidean search by one more coordinate that
 lifts every vector to the block's largest norm. Each of ``projections`` random directions keeps the
-block's rows sorted: with 256 of them, collisions tell rows apart well enough that few need be verified; around a query's own projection a window grows by virtual rehashing, and a row
+block's rows sorted; around a query's own projection a window grows by virtual rehashing, and a row
 that lies in enough windows is verified with the exact inner product on the original vectors. Windows
 grow until a row nearer than the k-th best found would, with a margin of ``sigmas`` standard
 deviations, have collided often enough; so the share of rows verified follows the data.
@@ -99,7 +99,7 @@ class Block:
             yield i, self.ids[rows], scores, checked
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 65536, query_rows: int = 4096, projections: int = 256, threshold: float = 0.6, growth: float = 1.05, sigmas: float = 2.6, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 65536, query_rows: int = 4096, projections: int = 64, threshold: float = 0.6, growth: float = 1.07, sigmas: float = 2.0, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by inner product, in double precision.
 
     ``vectors`` and ``queries``: (vec_id, embedding); a query's own id is no candidate. Ties go to the smaller
