@@ -69,8 +69,9 @@ def page_accepted(spark, sf_dir):
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?i)<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&') AS title FROM pages")
 def page_to_rows(spark, sf_dir):
-    rows = _pages(spark, sf_dir).select("page_id", F.explode(M.extract(F.col("html"), {"title": ".//title"})).alias("m"))
-    return rows.select("page_id", F.col("m")["title"].alias("title"))
+    rows = _pages(spark, sf_dir).select("page_id", "html", M.extract(F.col("html"), {"title": "."}, ".//title").alias("m"))
+    first = F.coalesce(F.get("m", F.lit(0))["title"], F.when(F.col("html").isNotNull(), F.lit("")))
+    return rows.select("page_id", first.alias("title"))
 
 
 @query("SELECT page_id, '1F8B' AS magic, md5(html) AS digest FROM pages")

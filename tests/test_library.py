@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import markup, strings, timing
 from millrace.operators import crawl, explorer, svm, tables, usage
 from millrace.plans.running import running
+from millrace.queries import ORACLES, QUERIES
 from millrace.sources import records, stats, texts
 from millrace.streaming import usage as stream
 
@@ -239,3 +240,21 @@ def test_small_helpers(spark):
     assert one(spark, timing.zone_offset_ms(summer, "Europe/Berlin")) == 7_200_000
     with pytest.raises(ValueError):
         timing.field(summer, "era")
+
+
+def test_references_without_a_semicolon_stay(spark):
+    html = "<title>a&amp; b&amp</title><script>1 &amp;&lt x</script><a href='?a=1&copy=2&amp;c=3' t='&auml;&quot'>&lt &lt; &notit; &amp;amp; &#228;&#xe4; &#228 &#" + "9" * 5000 + ";</a>&am"
+    got = one(spark, markup.extract(F.lit(html), {"title": ".//title", "script": ".//script", "href": ".//a@href", "t": ".//a@t", "a": ".//a", "all": "."}))[0]
+    assert got["title"] == "a& b&amp" and got["script"] == "1 &amp;&lt x" and got["href"] == "?a=1&copy=2&c=3" and got["t"] == "ä&quot"
+    assert got["a"] == "&lt < &notit; &amp; ää &#228 &#" + "9" * 5000 + ";" and got["all"].endswith(";&am")
+
+
+def test_page_to_rows_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    heads = ["<title>a&amp;&amp</title>", "<title> &lt;b&gt; &quot;&#39;&amp;lt; &quo</title>", "<TITLE>c&lt</TITLE>", "<title>d</title><svg><title>e</title></svg>", "<p>no title", "", None, "<title></title>"]
+    rows = [(i, f"http://h/{i}", h) for i, h in enumerate(heads)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = QUERIES["page_to_rows"](spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.title) for r in got) == sorted(duckdb.sql(ORACLES["page_to_rows"]).fetchall())
